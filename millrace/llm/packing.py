@@ -8,12 +8,13 @@ alone; no partition waits for another, and nothing but one row for each source a
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,11 +26,16 @@ END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 MAX_QUEUES = 256
 """More sources than this share so many queues, by a hash of their names."""
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
+"""Words that a Python worker remembers, over all of its tasks."""
 
-# What the vocabulary's own file says about its words.
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_PLAIN = regex.compile(r"[\t\n\r -~¡-įı-ſ]*+")
+# How the vocabulary's file parts words, for the Latin letters and numbers that _PLAIN admits, in lower case.
+_PLAIN = re.compile(r"[\t\n\r -~¡-įı-ſ]*+")
+_PIECES = re.compile(r"[a-zªµºß-öø-ſ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ſ0-9²³¹¼-¾]+")
+
+# Byte-level vocabularies write a byte as its own Latin-1 character if that is printable, else as one from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARACTER = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - _PRINTABLE))}
 
 
 def default_tokenizer() -> str:
@@ -59,11 +65,8 @@ class Encoder(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        if word.isascii() and word.isalpha():
-            ids = np.array([t.id for t in self.whole.model.tokenize(word)], self.kind).tobytes()
-        else:
-            ids = self._ids(word)
-        self[word] = ids
+        written = word.encode().decode("latin-1").translate(_BYTE_CHARACTER)
+        self[word] = ids = np.array([t.id for t in self.whole.model.tokenize(written)], self.kind).tobytes()
         return ids
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -73,12 +76,18 @@ class Encoder(dict):
         return np.append(np.frombuffer(data, self.kind), self.kind.type(END_ID))
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One for each Python worker, so that its later tasks know the words of the earlier ones."""
+    return Encoder(path)
+
+
 _TOKENS = "doc_id long, queue string, part long, local long, n long, ids binary"
 
 
 def _tokenize(path: str | None):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path or default_tokenizer())
+        encoder = encoder_of(path or default_tokenizer())
         part = TaskContext.get().partitionId()
         sent: dict[str | None, int] = {}
         for batch in batches:
