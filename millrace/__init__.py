@@ -1,0 +1 @@
+"""A PySpark-native relational analytics engine."""
