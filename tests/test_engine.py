@@ -34,7 +34,7 @@ def test_parameters_and_cache(engine):
     put = engine.prepare("INSERT INTO t VALUES ($1, $2)")
     for k, v in ((1, "a'b"), (2, None), (3, "$1 @x")):
         put(k, v)
-    assert rows(engine, "SELECT name FROM t WHERE id = $2 OR id = $1", 1, 3) == [("$1 @x",), ("a'b",)]
+    assert rows(engine, "SELECT name FROM t WHERE id = $2 OR id = $1", 1, 3) == [("a'b",), ("$1 @x",)]
     assert rows(engine, "SELECT id FROM t WHERE id > @low", low=2) == [(3,)]
     with pytest.raises(StoreError):
         put(1)
