@@ -23,6 +23,7 @@ from millrace.llm.common import prepare
 
 MIN, NORMAL, MAX = 24, 64, 256
 STRICT_BITS, LOOSE_BITS = 7, 5
+STRETCH = 1 << 18
 
 
 def _gear_table() -> np.ndarray:
@@ -43,14 +44,19 @@ def boundaries(data: bytes) -> list[int]:
     n = len(data)
     if n <= MIN:
         return [n] if n else []
-    h = GEAR[np.frombuffer(data, np.uint8)]
-    for step in (1, 2, 4, 8):
-        longer = h.copy()
-        longer[step:] += h[:-step] << np.uint32(step)
-        h = longer
-    ends = np.flatnonzero(h < np.uint32(1 << (32 - LOOSE_BITS)))
-    loose = (ends + 1).tolist()
-    strict = (ends[h[ends] < np.uint32(1 << (32 - STRICT_BITS))] + 1).tolist()
+    raw = np.frombuffer(data, np.uint8)
+    loose, strict = [], []
+    for at in range(0, n, STRETCH):
+        before = min(at, 15)  # a hash depends on its own and the 15 bytes before it
+        h = GEAR[raw[at - before : at + STRETCH]]
+        for step in (1, 2, 4, 8):
+            longer = h.copy()
+            longer[step:] += h[:-step] << np.uint32(step)
+            h = longer
+        h = h[before:]
+        ends = np.flatnonzero(h < np.uint32(1 << (32 - LOOSE_BITS)))
+        loose += (ends + (at + 1)).tolist()
+        strict += (ends[h[ends] < np.uint32(1 << (32 - STRICT_BITS))] + (at + 1)).tolist()
     cuts, start, i, j = [], 0, 0, 0
     while n - start > MIN:
         middle = start + NORMAL

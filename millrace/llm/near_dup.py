@@ -24,6 +24,9 @@ SIMILARITY = 0.8
 ROWS, BANDS = 5, 25
 K = 128
 """Coordinates; the first ROWS x BANDS make the bands, all of them the sketch of two bits each."""
+STRETCH = 1 << 18
+AT_ONCE = 100_000
+"""Shingles whose darts are thrown at once (more only for a longer document)."""
 CUT = 0.6
 """Pairs whose sketches say less are not verified: five standard errors below SIMILARITY."""
 BUCKET = 4000
@@ -62,9 +65,7 @@ def _grown(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of each word, in order: differences of a running polynomial over the bytes, shifted to one place and mixed."""
-    data = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
+def _hashes(data: np.ndarray) -> np.ndarray:
     edge = np.flatnonzero(np.diff(_IS_WORD[data].view(np.int8), prepend=0, append=0))
     if not len(edge):
         return np.zeros(0, _U)
@@ -75,6 +76,24 @@ def word_hashes(text: str | None) -> np.ndarray:
     return _mix((running[end] - running[start]) * inverse[start] + (end - start).astype(_U) * _ODD)
 
 
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word, in order: differences of a running polynomial over the bytes, shifted to one place and mixed.
+
+    A long text is hashed in stretches of about STRETCH bytes that end between words.
+    """
+    data = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
+    if len(data) <= STRETCH:
+        return _hashes(data)
+    out, at = [], 0
+    while at < len(data):
+        end = min(len(data), at + STRETCH)
+        while end < len(data) and _IS_WORD[data[end]]:
+            end += 1
+        out.append(_hashes(data[at:end]))
+        at = end
+    return np.concatenate(out)
+
+
 def shingles_of(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of runs of WORDS words; a shorter text is one shingle, a wordless one none."""
     h = word_hashes(text)
@@ -150,13 +169,23 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same - 0.25) / 0.75
 
 
+def _portions(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    start, held = 0, 0
+    for k, s in enumerate(sets):
+        if held and held + len(s) > AT_ONCE:
+            yield start, k
+            start, held = k, 0
+        held += len(s)
+    yield start, len(sets)
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).to_pylist()
         sets = [shingles_of(t) for t in texts]
         keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass"), seed=1) for s, t in zip(sets, texts, strict=True)]
         halves = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-        sig = signatures(sets)
+        sig = np.concatenate([signatures(sets[a:b]) for a, b in _portions(sets)])
         bands, sketch = bands_of(sig).view(np.int64), sketch_of(sig).view(np.int64)
         bare = np.array([not len(s) for s in sets], bool)
         lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * m.shape[1], pa.int32()), pa.array(m.reshape(-1))) for m in (bands, sketch)]

@@ -26,7 +26,7 @@ END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 MAX_QUEUES = 256
 """More sources than this share so many queues, by a hash of their names."""
-CACHE_WORDS = 500_000
+CACHE_WORDS = 120_000
 """Words that a Python worker remembers, over all of its tasks."""
 
 # How the vocabulary's file parts words, for the Latin letters and numbers that _PLAIN admits, in lower case.

@@ -51,6 +51,16 @@ def test_fingerprints_survive_shifts():
     assert all(fingerprints.MIN <= y - x <= fingerprints.MAX for x, y in zip(cuts[:-2], cuts[1:-1], strict=True))
 
 
+def test_stretches_do_not_matter(monkeypatch):
+    text = " ".join(f"wörd{k % 501}é" for k in range(5000)) + "x" * 900 + " end"
+    cuts, words = fingerprints.boundaries(text.encode()), near_dup.word_hashes(text)
+    for size in (100, 1000, 4099):
+        monkeypatch.setattr(fingerprints, "STRETCH", size)
+        monkeypatch.setattr(near_dup, "STRETCH", size)
+        assert fingerprints.boundaries(text.encode()) == cuts
+        assert near_dup.word_hashes(text).tolist() == words.tolist()
+
+
 # 2 mixing
 
 
