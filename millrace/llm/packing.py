@@ -26,8 +26,8 @@ END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 MAX_QUEUES = 256
 """More sources than this share so many queues, by a hash of their names."""
-CACHE_WORDS = 120_000
-"""Words that a Python worker remembers, over all of its tasks."""
+CACHE_WORDS = 100_000
+"""Words in each of two generations that a Python worker remembers, over all of its tasks."""
 
 # How the vocabulary's file parts words, for the Latin letters and numbers that _PLAIN admits, in lower case.
 _PLAIN = re.compile(r"[\t\n\r -~¡-įı-ſ]*+")
@@ -55,6 +55,7 @@ class Encoder(dict):
         super().__init__()
         from tokenizers import Tokenizer
 
+        self.older: dict[str, bytes] = {}
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.kind = np.dtype("<u2") if self.whole.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
@@ -63,10 +64,14 @@ class Encoder(dict):
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= CACHE_WORDS:  # what is not asked for again before the next turn is forgotten
+            self.older = dict(self)
             self.clear()
-        written = word.encode().decode("latin-1").translate(_BYTE_CHARACTER)
-        self[word] = ids = np.array([t.id for t in self.whole.model.tokenize(written)], self.kind).tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            written = word.encode().decode("latin-1").translate(_BYTE_CHARACTER)
+            ids = np.array([t.id for t in self.whole.model.tokenize(written)], self.kind).tobytes()
+        self[word] = ids
         return ids
 
     def encode(self, text: str | None) -> np.ndarray:
