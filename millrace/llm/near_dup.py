@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,6 +32,8 @@ CUT = 0.6
 """Pairs whose sketches say less are not verified: five standard errors below SIMILARITY."""
 BUCKET = 4000
 """A bucket of more documents is dealt into parts that share one document of it."""
+BLOCK = 1_000_000
+"""Shingles, about, in a block of a cluster that is examined again; larger clusters are split into pairs of blocks."""
 
 _WORD = re.compile(r"[^\x00-/:-@\[-`{-\x7f]+")
 _IS_WORD = np.array([bool(_WORD.match(chr(c))) if c < 128 else True for c in range(256)])
@@ -242,7 +245,7 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingles_of(t).view(np.int64) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "n", "shingles"])
 
 
 def candidate_links(signed: DataFrame) -> DataFrame:
@@ -260,6 +263,68 @@ def candidate_links(signed: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_link, "u long, v long").distinct()
 
 
+def alike_classes(sets: list[np.ndarray], classes: np.ndarray, blocks: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Pairs of classes that similar sets join, enough of them to connect all that any similar pair connects.
+
+    Two sets are compared if they share one of their rarest shingles, of which each needs to look at so many only that a similar set
+    cannot miss all (prefix filter). Where there are two blocks, only pairs across them count.
+    """
+    size = np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((token, count[token], owner))
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    reach = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+    head = order[(place < np.repeat(reach, size)) & (count[token[order]] > 1)]
+    of, what = owner[head], token[head]
+    listed = of[np.argsort(what, kind="stable")]
+    start = np.r_[0, np.cumsum(np.bincount(what, minlength=len(count)))]
+    own = np.r_[0, np.cumsum(np.bincount(of, minlength=len(sets)))]
+    across, root, out = len(np.unique(blocks)) > 1, classes.copy(), []
+    for a in range(len(sets)):
+        near = [listed[start[t] : start[t + 1]] for t in what[own[a] : own[a + 1]]]
+        if not near:
+            continue
+        others = np.unique(np.concatenate(near))
+        others = others[(others > a) & (root[others] != root[a])]
+        others = others[np.minimum(size[others], size[a]) >= similarity * np.maximum(size[others], size[a]) - 1e-9]
+        for b in others[blocks[others] != blocks[a]] if across else others:
+            if root[b] != root[a]:
+                common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if common >= similarity * float(size[a] + size[b] - common):
+                    out.append((int(classes[a]), int(classes[b])))
+                    root[root == root[b]] = root[a]
+    return out
+
+
+def missed_links(refused: DataFrame, groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
+    """(u, v) of classes that belong together though the verification refused the forest's edges between them; None if there can be none.
+
+    A forest follows the sketches, which are estimates, so the edge that it took may be refused where another one would
+    have passed. Classes that refused edges connect are clusters; any similar pair lies in one of them, as a forest connects all
+    that look alike. A cluster is examined by its sets, in blocks of bounded size.
+    """
+    named = groups.select("node", "class")
+    edges = refused.join(named.toDF("u", "cu"), "u", "left").join(named.toDF("v", "cv"), "v", "left")
+    edges = written(edges.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).where("u <> v").distinct(), "set-apart")
+    if edges.isEmpty():
+        return None
+    clusters = written(connected_components(edges).toDF("class", "cluster"), "clusters")
+    members = sets.select("node", "n").join(named, "node", "left").select("node", "n", F.coalesce("class", "node").alias("class")).join(clusters, "class")
+    members = written(members, "cluster-members")
+    # of two documents the one pair is known
+    deals = members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("deals"), F.count(F.lit(1)).alias("m")).where("m > 2").drop("m")
+    placed = members.join(deals, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("deals")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
+    dealt = placed.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "class").join(sets.select("node", "shingles"), "node")
+
+    def examine(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node")
+        return pd.DataFrame(alike_classes(rows["shingles"].tolist(), rows["class"].to_numpy(), rows["block"].to_numpy(), similarity), columns=["u", "v"], dtype="int64")
+
+    return dealt.groupBy("cluster", "i", "j").applyInPandas(examine, "u long, v long").distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, kept of every document: classes of the graph of similarity 0.8 or more on sets of five-word shingles.
 
@@ -276,17 +341,22 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     named = classes.where("node is not null")
     links = written(candidate_links(named.where("not bare")), "candidates")
     ends = written(links.select(F.col("u").alias("doc_id")).union(links.select("v")).distinct(), "candidate-ids")
-    sets = rows.join(ends, "doc_id", "left_semi").mapInArrow(_shingle_rows, "node long, shingles array<long>").dropDuplicates(["node"])
+    sets = rows.join(ends, "doc_id", "left_semi").mapInArrow(_shingle_rows, "node long, n long, shingles array<long>").dropDuplicates(["node"])
     sets = written(sets, "shingles")
-    left = links.join(sets.withColumnRenamed("shingles", "a"), F.col("u") == F.col("node")).drop("node")
-    both = left.join(sets.withColumnRenamed("shingles", "b"), F.col("v") == F.col("node")).drop("node")
+    left = links.join(sets.select("node", F.col("shingles").alias("a")), F.col("u") == F.col("node")).drop("node")
+    both = left.join(sets.select("node", F.col("shingles").alias("b")), F.col("v") == F.col("node")).drop("node")
     common = F.size(F.array_intersect("a", "b"))
-    alike = both.where(common >= F.lit(similarity) * (F.size("a") + F.size("b") - common)).select("u", "v")
+    verdicts = written(both.select("u", "v", (common >= F.lit(similarity) * (F.size("a") + F.size("b") - common)).alias("alike")), "verdicts")
+    alike = verdicts.where("alike").select("u", "v")
     # a doc_id in several classes chains them
     owners = signed.where("doc_id is not null").join(named.select("k1", "k2", "node"), ["k1", "k2"])
     chained = owners.where("doc_id <> node").select(F.col("node").alias("u"), F.col("doc_id").alias("v")).join(named.select(F.col("node").alias("v")).distinct(), "v", "left_semi").select("u", "v")
-    groups = connected_components(alike.union(chained)).withColumnRenamed("component", "class")
+    groups = written(connected_components(alike.union(chained)).withColumnRenamed("component", "class"), "groups")
+    missed = missed_links(verdicts.where("not alike").select("u", "v"), groups, sets, similarity)
     label = named.select("k1", "k2", "node").join(groups, "node", "left").select("k1", "k2", F.coalesce("class", "node").alias("class_id"))
+    if missed is not None:
+        joined = connected_components(missed).toDF("class_id", "whole")
+        label = label.join(joined, "class_id", "left").select("k1", "k2", F.coalesce("whole", "class_id").alias("class_id"))
     out = signed.select("doc_id", "k1", "k2").join(label, ["k1", "k2"], "left")
     return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))
 

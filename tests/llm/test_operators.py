@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on the smallest tables and on odd rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -378,6 +379,49 @@ def test_near_duplicates_match_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.class_id) for r in got)
 
 
+@pytest.mark.parametrize("block", [near_dup.BLOCK, 3000])
+def test_no_link_is_lost_near_the_threshold(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    rng, rows = random.Random(5), []
+    for group in range(4):
+        base = [f"g{group}w{k}" for k in range(120)]
+        for _ in range(60):
+            words, at, n = list(base), rng.randrange(100), rng.randrange(1, 18)
+            words[at : at + n] = [f"x{rng.randrange(10**9)}" for _ in range(n)]
+            rows.append((len(rows), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_classes(rows)
+    assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).collect()} == want
+    monkeypatch.setattr(near_dup, "missed_links", lambda *_: None)
+    forest = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).collect()}
+    assert forest != want  # else the texts are no test of it
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_alike_classes_match_all_pairs(seed):
+    rng = np.random.default_rng(seed)
+    sets, blocks = [], rng.integers(0, 2, 150)
+    for _ in range(150):
+        own = rng.integers(0, 60, rng.integers(0, 9)) + 1000 * rng.integers(1, 60)
+        sets.append(np.unique(np.r_[np.arange(40) + 100 * rng.integers(0, 4), own]).astype(np.int64))
+    classes = np.arange(150)
+
+    def groups(pairs):
+        root = list(range(150))
+        for a, b in pairs:
+            root = [root[a] if r == root[b] else r for r in root]
+        return {frozenset(np.flatnonzero(np.array(root) == r)) for r in root}
+
+    for dealt in (np.zeros(150), blocks):
+        want = []
+        for a in range(150):
+            for b in range(a):
+                common = len(np.intersect1d(sets[a], sets[b]))
+                if common >= 0.8 * (len(sets[a]) + len(sets[b]) - common) and (not dealt.any() or dealt[a] != dealt[b]):
+                    want.append((a, b))
+        assert groups(near_dup.alike_classes(sets, classes, dealt)) == groups(want)
+
+
 def test_near_duplicates_odd_rows(spark, odd_docs, no_docs):
     got = near_dup.near_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.count() and near_dup.near_duplicates(no_docs).count() == 0
