@@ -48,14 +48,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
 def queue_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 17, docs_per_bin: int = 2000, budget: float | None = None) -> DataFrame:
     """docs + size, source_size, target, and ahead: words of the source that come before the document.
 
-    The shuffled order of a source is by a hash of doc_id and text. Prefix sums take two levels: the hash
-    deals each source into bins of about docs_per_bin documents, sums of bins are added up over one short row
-    for each bin, and documents only within their bin, so a source with a third of all rows is spread like any other.
+    The shuffled order of a source is by a 60-bit hash of doc_id and text, then doc_id. Prefix sums take two levels: the
+    hash deals each source into bins of about docs_per_bin documents, which follow each other in its order; sums of bins are added
+    up over one short row for each bin, and documents only within their bin, so a source with a third of all rows is
+    spread like any other and the number of bins does not change a result.
     """
-    sized = docs.withColumn("size", word_count(F.col("text"))).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), "text").cast("binary"))
+    sized = docs.withColumn("size", word_count(F.col("text"))).withColumn("_h", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
     n = docs.count()
     bins = max(16, min(1 << 20, n // docs_per_bin))
-    sized = sized.withColumn("_bin", F.pmod(F.shiftright("_h", 20), F.lit(bins)))
+    sized = sized.withColumn("_bin", F.shiftright(F.shiftright("_h", 40) * F.lit(bins), 20))
     sums = written(sized.groupBy("source", "_bin").agg(F.sum("size").alias("_sum")), "mix-bins")
     before = Window.partitionBy("source").orderBy("_bin")
     bin_starts = sums.select("source", "_bin", (F.sum("_sum").over(before) - F.col("_sum")).alias("_start"))
