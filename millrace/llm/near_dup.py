@@ -33,7 +33,7 @@ CUT = 0.6
 BUCKET = 4000
 """A bucket of more documents is dealt into parts that share one document of it."""
 BLOCK = 1_000_000
-"""Shingles, about, in a block of a cluster that is examined again; larger clusters are split into pairs of blocks."""
+"""Shingles, about, in a block of a cluster that is examined again; larger clusters are split into pairs of blocks, see block_pairs."""
 
 _WORD = re.compile(r"[^\x00-/:-@\[-`{-\x7f]+")
 _IS_WORD = np.array([bool(_WORD.match(chr(c))) if c < 128 else True for c in range(256)])
@@ -297,6 +297,25 @@ def alike_classes(sets: list[np.ndarray], classes: np.ndarray, blocks: np.ndarra
     return out
 
 
+def block_pairs(members: DataFrame) -> DataFrame:
+    """(cluster, i, j, block, node, class): the members of each pair of blocks to compare, from (cluster, class, node, n).
+
+    A cluster of up to BLOCK shingles is one block. In a larger one the members of its largest class have blocks of their own,
+    which meet those of the others but not each other: what is one class already needs no comparison. So a class
+    of very many near copies costs rows in proportion to its size. A cluster of two documents is left out: its one pair is known.
+    """
+    by_class = members.groupBy("cluster", "class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m"))
+    sizes = by_class.groupBy("cluster").agg(F.sum("n").alias("all"), F.sum("m").alias("m"), F.max(F.struct("n", "class")).alias("top")).where("m > 2")
+    one = F.col("all") <= BLOCK
+    few = F.when(one, 1).otherwise(F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("top.n")) / BLOCK)))
+    many = F.when(one, 0).otherwise(F.ceil(F.col("top.n") / BLOCK))
+    sizes = sizes.select("cluster", F.when(~one, F.col("top.class")).alias("top"), few.cast("int").alias("few"), many.cast("int").alias("many"))
+    own, h = F.coalesce(F.col("class") == F.col("top"), F.lit(False)), F.xxhash64("node")
+    placed = members.join(sizes, "cluster").withColumn("block", F.when(own, F.col("few") + F.pmod(h, F.greatest(F.lit(1), "many"))).otherwise(F.pmod(h, F.col("few"))).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("few") + F.when(own, 0).otherwise(F.col("many")) - 1)))
+    return placed.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "class")
+
+
 def missed_links(refused: DataFrame, groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
     """(u, v) of classes that belong together though the verification refused the forest's edges between them; None if there can be none.
 
@@ -312,11 +331,7 @@ def missed_links(refused: DataFrame, groups: DataFrame, sets: DataFrame, similar
     clusters = written(connected_components(edges).toDF("class", "cluster"), "clusters")
     members = sets.select("node", "n").join(named, "node", "left").select("node", "n", F.coalesce("class", "node").alias("class")).join(clusters, "class")
     members = written(members, "cluster-members")
-    # of two documents the one pair is known
-    deals = members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("deals"), F.count(F.lit(1)).alias("m")).where("m > 2").drop("m")
-    placed = members.join(deals, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("deals")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
-    dealt = placed.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "class").join(sets.select("node", "shingles"), "node")
+    dealt = block_pairs(members).join(sets.select("node", "shingles"), "node")
 
     def examine(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node")

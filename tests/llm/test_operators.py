@@ -422,6 +422,24 @@ def test_alike_classes_match_all_pairs(seed):
         assert groups(near_dup.alike_classes(sets, classes, dealt)) == groups(want)
 
 
+def test_a_large_class_costs_rows_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 1000)
+    rows = [(1, 10, k, 100) for k in range(10, 410)] + [(1, 20 + k % 5, 500 + k, 100) for k in range(25)] + [(2, 600, 600, 5), (2, 601, 601, 5), (2, 601, 602, 5), (3, 700, 700, 5), (3, 701, 701, 5)]
+    got = near_dup.block_pairs(spark.createDataFrame(rows, "cluster long, class long, node long, n long")).collect()
+    tasks = defaultdict(list)
+    for r in got:
+        tasks[r.cluster, r.i, r.j].append(r)
+    met = Counter()
+    for (_, i, j), members in tasks.items():
+        for a in members:
+            met.update((a.node, b.node) for b in members if a.node < b.node and (i == j or a.block != b.block))
+    kind = {node: (cluster, c) for cluster, c, node, _ in rows}
+    apart = {(a, b) for a in kind for b in kind if a < b and kind[a][0] == kind[b][0] != 3 and kind[a][1] != kind[b][1]}
+    assert apart <= set(met) and set(met.values()) == {1}
+    assert not any(kind[a] == kind[b] == (1, 10) for a, b in met)
+    assert sum(r["class"] == 10 for r in got) == 400 * 3  # the others fill three blocks
+
+
 def test_near_duplicates_odd_rows(spark, odd_docs, no_docs):
     got = near_dup.near_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.count() and near_dup.near_duplicates(no_docs).count() == 0
