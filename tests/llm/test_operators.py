@@ -322,6 +322,24 @@ def test_trees_choose_by_context():
     assert spans("plain words only, nothing else") == []
 
 
+def test_gates_ask_no_more_than_the_patterns():
+    t = pii.trained()
+    rng = np.random.default_rng(6)
+    token = lambda: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"), rng.integers(24, 49)))
+    for text, found in (
+        ("call 06 12 34 56 78", ("contact", 5, 19)),
+        ("mail john (AT) example (DOT) com", ("address", 5, 32)),
+        ("write to john [ at ] example [ dot ] com", ("address", 9, 40)),
+        ("token: Ab9xKqLmZpWcRtYvNsHdJf4gQeUo", ("secret", 7, 35)),
+    ):
+        assert found in pii.candidates(text) and pii.find_spans(text, t)[1] == [found], text
+    for text in ("john (AT) example (DOT) com", "john [ at ] example [ dot ] com"):  # the trees see them, and want a word before
+        assert ("address", 0, len(text)) in pii.candidates(text), text
+    tokens = [f"token: {token()} there" for _ in range(300)]
+    assert all(("secret", 7, len(x) - 6) in pii.candidates(x) for x in tokens if re.search("[0-9]", x))
+    assert sum("secret" in [s[0] for s in pii.find_spans(x, t)[1]] for x in tokens) > 285
+
+
 def test_redaction(spark, odd_docs):
     rows = [(1, "to bob@x.org or +1 (212) 555-1234!", 34), (2, None, None), (3, "clean", 5)]
     got = {r.doc_id: r for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
