@@ -3,11 +3,13 @@
 Deficit round-robin: in round k each source's queue may have sent floor((k + 1) x quantum) tokens in all, quantum being its
 share of one window, so what a round could not send stays in its favour, across windows and partitions alike. A
 queue is cut where its credit ends. The position of any token in the packed stream follows from the sources' totals
-alone; no partition waits for another, and nothing but one row for each source and partition is added up.
+alone; no partition waits for another, and nothing but one row for each source and partition is added up. That takes the totals of all
+sources in one place; where sources are many, the pieces are sorted by round and source instead, and their lengths added up: the same stream.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,7 +27,9 @@ WINDOW = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 MAX_QUEUES = 256
-"""More sources than this share so many queues, by a hash of their names."""
+"""With more sources than this, positions come from a sort of the pieces and not from a list of all sources' totals."""
+FLUSH = 20_000
+"""Pieces that a Python worker holds before it passes them on."""
 CACHE_WORDS = 100_000
 """Words in each of two generations that a Python worker remembers, over all of its tasks."""
 
@@ -109,54 +113,60 @@ def _tokenize(path: str | None):
     return work
 
 
+def quantum_of(share: float, shares: float, window: int) -> float:
+    return max(share / max(shares, 1e-300) * window, 1e-6)
+
+
+def _limit(total: int, quantum: float, k: int) -> int:
+    """Tokens that a queue has sent before round k."""
+    return min(total, math.floor(float(k) * quantum))
+
+
+def _round_of(total: int, quantum: float, x: int) -> int:
+    """The round in which a queue sends its token x."""
+    k = max(0, int((x + 1) / quantum) - 2)
+    while _limit(total, quantum, k + 1) <= x:
+        k += 1
+    return k
+
+
+def pieces(total: int, quantum: float, start: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """(from, to, round) of a stretch of a queue, cut where its credit of a round ends."""
+    while start < end:
+        k = _round_of(total, quantum, start)
+        stop = min(end, _limit(total, quantum, k + 1))
+        yield start, stop, k
+        start = stop
+
+
+def bounds(total: int, window: int, position: int) -> tuple[int, int, int]:
+    """Sequence that holds a position of a stream of total tokens: its number, start and end. What is left at the end of the stream goes to
+    sequences of falling powers of two, which need no padding."""
+    n, at = divmod(position, window)
+    full, rest = divmod(total, window)
+    if n < full:
+        return n, n * window, (n + 1) * window
+    number, start, size = full, full * window, window >> 1
+    while True:
+        if rest & size:
+            if position < start + size:
+                return number, start, start + size
+            number, start = number + 1, start + size
+        size >>= 1
+
+
 class Rounds:
     """Where the deficit round-robin puts each token of each queue."""
 
     def __init__(self, totals: list[int], shares: list[float], window: int = WINDOW) -> None:
         self.totals = np.array(totals, np.int64)
-        self.quantum = np.maximum(np.array(shares, np.float64) / max(sum(shares), 1e-300) * window, 1e-6)
+        self.quantum = np.array([quantum_of(x, sum(shares), window) for x in shares], np.float64)
         self.window, self.total = window, int(self.totals.sum())
 
     def sent(self, k: np.ndarray) -> np.ndarray:
         """Tokens that each queue has sent before round k: rounds x queues."""
         return np.minimum(self.totals, np.floor(np.asarray(k, np.float64)[:, None] * self.quantum).astype(np.int64))
 
-    def limit(self, s: int, k: int) -> int:
-        return min(int(self.totals[s]), int(np.floor(np.float64(k) * self.quantum[s])))
-
-    def round_of(self, s: int, x: int) -> int:
-        """The round in which queue s sends its token x."""
-        k = max(0, int((x + 1) / self.quantum[s]) - 2)
-        while self.limit(s, k + 1) <= x:
-            k += 1
-        return k
-
-    def pieces(self, s: int, start: int, end: int) -> list[tuple[int, int, int]]:
-        """(from, to, round) of a stretch of queue s, cut where its credit of a round ends."""
-        out, k = [], self.round_of(s, start)
-        while start < end:
-            stop = min(end, self.limit(s, k + 1))
-            if stop > start:
-                out.append((start, stop, k))
-                start = stop
-            k += 1
-        return out
-
-    def bounds(self, position: int) -> tuple[int, int, int]:
-        """Sequence that holds a position of the stream: its number, start and end. What is left at the end of the stream goes to
-        sequences of falling powers of two, which need no padding."""
-        n, at = divmod(position, self.window)
-        full, rest = divmod(self.total, self.window)
-        if n < full:
-            return n, n * self.window, (n + 1) * self.window
-        number, start, size = full, full * self.window, self.window >> 1
-        while True:
-            if rest & size:
-                if position < start + size:
-                    return number, start, start + size
-                number, start = number + 1, start + size
-            size >>= 1
-
 
 _OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -170,7 +180,7 @@ def _place(order: dict[str | None, int], rounds: Rounds, width: int, with_ids: b
             rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
             for r, (_, queue, begin, n, _) in enumerate(rows):
                 s = order[queue]
-                cuts += [(r, a, b, k) for a, b, k in rounds.pieces(s, begin, begin + n)]
+                cuts += [(r, a, b, k) for a, b, k in pieces(int(rounds.totals[s]), float(rounds.quantum[s]), begin, begin + n)]
             if not cuts:
                 continue
             turns = np.array([c[3] for c in cuts])
@@ -183,19 +193,105 @@ def _place(order: dict[str | None, int], rounds: Rounds, width: int, with_ids: b
                 doc_id, queue, begin, n, ids = rows[r]
                 s = order[queue]
                 position = int(lead[t, s]) + a - int(before[t, s])
-                while a < b:
-                    number, start, end = rounds.bounds(position)
-                    length = min(b - a, end - position)
-                    part = np.frombuffer(ids, kind, length, (a - begin) * width).astype("<u4")
-                    out.append((doc_id, a - begin, length, zlib.crc32(part), n, number, position - start, *([part.tobytes()] if with_ids else [])))
-                    a, position = a + length, position + length
-            names = [*(f.split(" ")[0] for f in _OUT.split(", ")), *(["ids"] if with_ids else [])]
-            kinds = [pa.int64()] * 7 + [pa.binary()] * with_ids
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                out += _laid(doc_id, n, a - begin, np.frombuffer(ids, kind, b - a, (a - begin) * width), position, rounds.total, rounds.window, with_ids)
+            yield _packed(out, with_ids)
 
     return work
 
 
+def _laid(doc_id: int | None, n: int, at: int, ids: np.ndarray, position: int, total: int, window: int, with_ids: bool) -> list[tuple]:
+    """Rows of a piece of a document that begins at its token at, cut where sequences end."""
+    out, done = [], 0
+    while done < len(ids):
+        number, start, end = bounds(total, window, position)
+        length = min(len(ids) - done, end - position)
+        part = ids[done : done + length].astype("<u4")
+        out.append((doc_id, at + done, length, zlib.crc32(part), n, number, position - start, *([part.tobytes()] if with_ids else [])))
+        done, position = done + length, position + length
+    return out
+
+
+def _packed(out: list[tuple], with_ids: bool) -> pa.RecordBatch:
+    names = [*(f.split(" ")[0] for f in _OUT.split(", ")), *(["ids"] if with_ids else [])]
+    kinds = [pa.int64()] * 7 + [pa.binary()] * with_ids
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+
+_PIECE = "doc_id long, doc_tokens long, start long, ids binary, round long, queue string, begin long"
+_PIECE_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
+
+
+def _cut(shares: float, window: int, width: int):
+    names = [f.split(" ")[0] for f in _PIECE.split(", ")]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _PIECE_TYPES, strict=True)], names=names)
+        for batch in batches:
+            for doc_id, queue, begin, n, ids, total, share in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for a, b, k in pieces(total, quantum_of(share, shares, window), begin, begin + n):
+                    out.append((doc_id, n, a - begin, ids[(a - begin) * width : (b - begin) * width], k, queue, a))
+                    if len(out) >= FLUSH:
+                        yield flush()
+                        out.clear()
+        if out:
+            yield flush()
+
+    return work
+
+
+def _run(width: int):
+    """Tokens before each piece in its partition of the sorted pieces."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, sent = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            lengths = np.array([len(x) // width for x in batch.column(3).to_pylist()], np.int64)
+            before = sent + np.cumsum(lengths) - lengths
+            sent += int(lengths.sum())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.full(len(lengths), part, np.int64)), pa.array(before), pa.array(lengths)], names=["doc_id", "doc_tokens", "start", "ids", "part", "before", "length"])
+
+    return work
+
+
+def _lay(ahead: dict[int, int], total: int, window: int, width: int, with_ids: bool):
+    kind = np.dtype(f"<u{width}")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc_id, n, at, ids, part, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out += _laid(doc_id, n, at, np.frombuffer(ids, kind), ahead[part] + before, total, window, with_ids)
+            if out:
+                yield _packed(out, with_ids)
+
+    return work
+
+
+def _pack_sorted(tokens: DataFrame, sums: DataFrame, weights: dict[str | None, float] | None, window: int, width: int, with_ids: bool) -> DataFrame:
+    """The stream of _place for any number of sources: pieces in order of round, source and place in its queue, their lengths added up."""
+    spark = tokens.sparkSession
+    total = sums.agg(F.sum("size")).first()[0]
+    whole = Window.partitionBy("queue")
+    known = sums.select(F.col("queue").alias("q"), F.col("part").alias("p"), (F.sum("size").over(whole.orderBy("part")) - F.col("size")).alias("ahead"), F.sum("size").over(whole).alias("total"))
+    if weights:
+        given = spark.createDataFrame([(q, float(w)) for q, w in weights.items()], "name string, weight double")
+        known = known.join(F.broadcast(given), F.expr("q <=> name"), "left").select("q", "p", "ahead", "total", F.coalesce("weight", F.lit(0.0)).alias("share"))
+        present = [r["name"] for r in given.join(sums.select("queue").distinct(), F.expr("name <=> queue"), "left_semi").collect()]  # the caller's names at most
+        shares = sum(float(weights[q]) for q in sorted(present, key=lambda q: (q is None, q or "")))
+    else:
+        known, shares = known.withColumn("share", F.col("total").cast("double")), float(total)
+    known = written(known, "queue-starts")
+    placed = tokens.join(small(known), F.expr("queue <=> q and part = p")).select("doc_id", "queue", (F.col("ahead") + F.col("local")).alias("begin"), "n", "ids", "total", "share")
+    cut = written(placed.mapInArrow(_cut(shares, window, width), _PIECE), "pieces")  # sampled for its ranges, then sorted
+    runs = cut.orderBy("round", F.col("queue").isNull(), "queue", "begin").select("doc_id", "doc_tokens", "start", "ids")
+    runs = written(runs.mapInArrow(_run(width), "doc_id long, doc_tokens long, start long, ids binary, part long, before long, length long"), "piece-runs")
+    ahead, before = {}, 0
+    for r in sorted(runs.groupBy("part").agg(F.sum("length").alias("size")).collect(), key=lambda r: r["part"]):  # one row a partition
+        ahead[r["part"]], before = before, before + r["size"]
+    return runs.select("doc_id", "doc_tokens", "start", "ids", "part", "before").mapInArrow(_lay(ahead, total, window, width, with_ids), _OUT + (", ids binary" if with_ids else ""))
+
+
 def pack(docs: DataFrame, weights: dict[str | None, float] | None = None, window: int = WINDOW, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """Pieces of every document with the sequence and offset where they lie; with_ids adds the ids as unsigned 32-bit little-endian bytes.
 
@@ -207,15 +303,16 @@ def pack(docs: DataFrame, weights: dict[str | None, float] | None = None, window
     spark = prepare(docs.sparkSession)
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     many = docs.select(source.alias("queue")).distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES
-    queue = F.pmod(F.xxhash64(source), F.lit(MAX_QUEUES)).cast("string") if many else source
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), queue.alias("queue"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("queue"), "text")
     tokens = written(rows.mapInArrow(_tokenize(tokenizer), _TOKENS), "tokens")
     sums = written(tokens.groupBy("queue", "part").agg(F.sum("n").alias("size")), "queue-sums")
+    width = Encoder(tokenizer or default_tokenizer()).kind.itemsize
+    if many:
+        return _pack_sorted(tokens, sums, weights, window, width, with_ids)
     totals = {r["queue"]: r["size"] for r in sums.groupBy("queue").agg(F.sum("size").alias("size")).collect()}  # MAX_QUEUES rows at most
     names = sorted(totals, key=lambda q: (q is None, q or ""))
-    shares = [float((weights or {}).get(q, 0.0)) if weights and not many else float(totals[q]) for q in names]
+    shares = [float((weights or {}).get(q, 0.0)) if weights else float(totals[q]) for q in names]
     rounds = Rounds([totals[q] for q in names], shares, window)
-    width = Encoder(tokenizer or default_tokenizer()).kind.itemsize
     ahead = Window.partitionBy("queue").orderBy("part")
     starts = written(sums.select(F.col("queue").alias("q"), F.col("part").alias("p"), (F.sum("size").over(ahead) - F.col("size")).alias("ahead")), "queue-starts")
     placed = tokens.join(small(starts), F.expr("queue <=> q and part = p")).select("doc_id", "queue", (F.col("ahead") + F.col("local")).alias("begin"), "n", "ids")

@@ -555,6 +555,34 @@ def test_given_weights_run_sources_out(spark):
     assert abs(a / sum(r.length for r in first) - 0.75) < 0.02
 
 
+@pytest.mark.parametrize("weights", [None, {"s7": 3.0, None: 2.0, "s1": 1.0, "absent": 9.0}])
+def test_many_sources_make_the_same_stream(spark, monkeypatch, weights):
+    rows = [(k, f"alpha beta gamma {k} delta " * (1 + k * k % 23), None if k % 9 == 0 else f"s{k % 9}") for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    few = sorted(map(tuple, packing.pack(docs, weights, 256, with_ids=True).collect()))
+    monkeypatch.setattr(packing, "MAX_QUEUES", 3)
+    monkeypatch.setattr(packing, "FLUSH", 7)
+    # partitions of tokens, and so the place of a document in its queue, are those of the same table
+    assert sorted(map(tuple, packing.pack(docs, weights, 256, with_ids=True).collect())) == few
+
+
+def test_each_of_many_sources_keeps_its_queue(spark):
+    rows = [(k, "alpha beta gamma delta " * 10, f"host{k % 300}") for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.pack(docs, window=1024).collect()
+    check_packing([(r[0], r[1]) for r in rows], got, 1024)
+    total, own = sum(r.length for r in got), defaultdict(Counter)
+    # a round sends 3 or 4 tokens of each source, and a window has a source's tokens of two rounds at most
+    for r in got:
+        own[r.sequence_id][r.doc_id % 300] += r.length
+    assert all(abs(own[q][s] - 1024 / 300) < 5 for q in range(total // 1024) for s in range(300))
+    first = Counter()
+    for r in packing.pack(docs, weights={"host1": 3.0, "host2": 1.0}, window=64).collect():
+        if r.sequence_id == 0:
+            first[r.doc_id % 300] += r.length
+    assert first == {1: 48, 2: 16}
+
+
 @pytest.mark.parametrize("text", ["it's 'tis WE'LL!! naïve ½ x² 42", "Straße ŒUVRE ÑANDÚ $$$ ### a_b", "İstanbul ΣΊΣΥΦΟΣ Ǆ", "é    x", "<|endoftext|> 日本", ""])
 def test_word_memory_agrees_with_the_library(text):
     e = packing.Encoder(packing.default_tokenizer())
