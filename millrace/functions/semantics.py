@@ -25,12 +25,6 @@ def safe_div(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(col(a).cast("double"), col(b).cast("double"))
 
 
-def wide(op: str, a: Column | str, b: Column | str) -> Column:
-    """+, - or * of integers as bigint; NULL beyond it."""
-    f = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op]
-    return f(col(a).cast("bigint"), col(b).cast("bigint"))
-
-
 def int_mod(a: Column | str, b: Column | str) -> Column:
     """Remainder with the dividend's sign; NULL by zero."""
     return F.try_mod(col(a), col(b))
@@ -41,11 +35,6 @@ def float_mod(a: Column | str, b: Column | str) -> Column:
     return F.pmod(col(a), F.nullif(col(b), F.lit(0.0)))
 
 
-def lenient_cast(c: Column | str, kind: str) -> Column:
-    """CAST by SQL type name; NULL where the value does not convert."""
-    return col(c).try_cast(TYPES.get(kind.lower(), kind))
-
-
 def byte_length(c: Column | str) -> Column:
     return F.octet_length(col(c))
 
@@ -62,11 +51,6 @@ def substring_from(c: Column | str, start: int | Column, length: int | Column |
     return F.when(s >= 1, F.substring(col(c), s, n))
 
 
-def like(c: Column | str, pattern: str) -> Column:
-    """LIKE without an escape character: a backslash is a backslash."""
-    return F.like(col(c), F.lit(pattern), F.lit("\x01"))
-
-
 def whole(c: Column | str, up: bool) -> Column:
     """CEIL or FLOOR as a double."""
     return (F.ceil(col(c)) if up else F.floor(col(c))).cast("double")

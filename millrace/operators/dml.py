@@ -1,6 +1,7 @@
 """INSERT, UPDATE, DELETE, upsert and the checks before they are published.
 
-Every check is a query over the new rows (or the changed table) that must find nothing; it stops at the first row.
+Every check is a query that must find nothing; it stops at the first row. It looks at the new rows, and joins them with the
+keys of the others where it has to. A change takes one job that finds the fragments with matches and one that rewrites these, however many they are.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ def create_index(tx: Transaction, name: str, table: str, columns: list[str], uni
     t["indexes"][name] = {"columns": names, "unique": unique}
     if unique:
         t["unique"].append(names)
-        _check_unique(tx, table, [names])
+        _check_unique(tx, table, [names], t["fragments"])
 
 
 def drop_index(tx: Transaction, name: str) -> None:
@@ -100,10 +101,17 @@ def _refuse(df: DataFrame, message: str) -> None:
         raise ConstraintError(message)
 
 
-def _check_unique(tx: Transaction, name: str, keys: list[list[str]]) -> None:
+def _check_unique(tx: Transaction, name: str, keys: list[list[str]], new: list[str]) -> None:
+    """Keys of the new fragments must differ from each other and from those of the other fragments."""
+    table = tx.table(name)
+    others = [f for f in table["fragments"] if f not in new]
     for key in keys:
-        rows = tx.rows(name).where(" and ".join(f"`{c}` is not null" for c in key))
-        _refuse(rows.groupBy(*key).count().where("count > 1"), f"{name}: {', '.join(key)} must be unique")
+        there = " and ".join(f"`{c}` is not null" for c in key)
+        rows = tx.store.read(table, new).where(there).select(*key)
+        message = f"{name}: {', '.join(key)} must be unique"
+        _refuse(rows.groupBy(*key).count().where("count > 1"), message)
+        if others:
+            _refuse(tx.store.read(table, others).where(there).select(*key).join(rows, key, "left_semi"), message)
 
 
 def check_rows(tx: Transaction, name: str, rows: DataFrame, keys_changed: Callable[[list[str]], bool] = lambda _: True) -> None:
@@ -125,12 +133,17 @@ def _orphans(rows: DataFrame, fk: dict, parents: DataFrame) -> DataFrame:
     return keys.join(there, [f"k{i}" for i in range(len(fk["columns"]))], "left_anti")
 
 
-def _check_children(tx: Transaction, name: str) -> None:
-    """Rows of other tables that name this one must still find their row."""
+def _check_children(tx: Transaction, name: str, gone: DataFrame | None = None) -> None:
+    """Rows of other tables that name this one must still find their row; gone are the rows that changed or went (all if None)."""
     for child, t in tx.catalog["tables"].items():
         for fk in t["foreign"]:
             if fk["table"] == name:
-                _refuse(_orphans(tx.rows(child), fk, tx.rows(name)), f"{name}: rows are referenced by {child}")
+                rows = tx.rows(child)
+                if gone is not None:
+                    keys = gone.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(fk["references"])])
+                    on = [F.col(c) == F.col(f"_g{i}") for i, c in enumerate(fk["columns"])]
+                    rows = rows.join(keys, on, "left_semi")
+                _refuse(_orphans(rows, fk, tx.rows(name)), f"{name}: rows are referenced by {child}")
 
 
 def complete(tx: Transaction, name: str, rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -153,7 +166,7 @@ def complete(tx: Transaction, name: str, rows: DataFrame, columns: list[str] | N
         if highest[1]:
             # numbers by partition: a short sum over partitions, then within each
             marked = rows.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-            marked = tx.store.spark.read.parquet(_materialized(tx, marked))
+            marked = tx.written(marked)
             sizes = {r["_p"]: r["n"] for r in marked.where(F.col(n).isNull()).groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
             at, offsets = start, {}
             for p in sorted(sizes):
@@ -166,32 +179,24 @@ def complete(tx: Transaction, name: str, rows: DataFrame, columns: list[str] | N
     return rows
 
 
-def _materialized(tx: Transaction, df: DataFrame) -> str:
-    path = f"{tx.store.root}/_staging/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    tx.staged.append(path)
-    return path
-
-
 def insert(tx: Transaction, name: str, rows: DataFrame, columns: list[str] | None = None) -> None:
     _append(tx, name, complete(tx, name, rows, columns))
 
 
 def _append(tx: Transaction, name: str, rows: DataFrame) -> None:
     path = tx.stage(name, rows)
-    tx.table(name)["fragments"].append(path)
-    check_rows(tx, name, tx.store.read(tx.table(name), [path]))
-    _check_unique(tx, name, tx.table(name)["unique"])
+    table = tx.table(name)
+    table["fragments"] = [*table["fragments"], path]
+    check_rows(tx, name, tx.store.read(table, [path]))
+    _check_unique(tx, name, table["unique"], [path])
 
 
-def _rewrite(tx: Transaction, name: str, changed: Column | None, make: Callable[[DataFrame], DataFrame]) -> None:
-    """Replace the fragments that hold a row for which `changed` is true (all if None)."""
+def _replace(tx: Transaction, name: str, touched: list[str], rows: DataFrame) -> list[str]:
+    """Put rows, written as one fragment, in the place of the touched ones; the old fragments that went."""
     table = tx.table(name)
-    kept = []
-    for path in table["fragments"]:
-        rows = tx.store.read(table, [path])
-        kept.append(path if changed is not None and not rows.where(changed).limit(1).count() else tx.stage(name, make(rows)))
-    table["fragments"] = kept
+    path = tx.stage(name, rows)
+    table["fragments"] = [*(f for f in table["fragments"] if f not in touched), path]
+    return [path]
 
 
 def update(tx: Transaction, name: str, assign: dict[str, str], where: str | None = None) -> None:
@@ -200,38 +205,58 @@ def update(tx: Transaction, name: str, assign: dict[str, str], where: str | None
     hit = F.coalesce(F.expr(where), F.lit(False)) if where else F.lit(True)
     new = {_find(table, c)["name"]: F.expr(e) for c, e in assign.items()}
     kinds = {c["name"]: c["type"] for c in table["columns"]}
-    _rewrite(tx, name, hit, lambda rows: rows.select(*[F.when(hit, new[c].try_cast(kinds[c])).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in kinds]))
-    _after_change(tx, name, set(new))
+    touched = tx.store.fragments_of(table, tx.store.read(table, places=True).alias(name).where(hit))
+    if not touched:
+        return
+    old = tx.store.read(table, touched).alias(name)
+    fresh = _replace(tx, name, touched, old.select(*[F.when(hit, new[c].try_cast(kinds[c])).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in kinds]))
+    _after_change(tx, name, set(new), fresh, old.where(hit))
 
 
-def _after_change(tx: Transaction, name: str, columns: set[str]) -> None:
-    check_rows(tx, name, tx.rows(name), lambda key: bool(columns & set(key)))
-    _check_unique(tx, name, [u for u in tx.table(name)["unique"] if columns & set(u)])
+def _after_change(tx: Transaction, name: str, columns: set[str], fresh: list[str], gone: DataFrame) -> None:
+    table = tx.table(name)
+    check_rows(tx, name, tx.store.read(table, fresh), lambda key: bool(columns & set(key)))
+    _check_unique(tx, name, [u for u in table["unique"] if columns & set(u)], fresh)
     if any(columns & set(fk["references"]) for t in tx.catalog["tables"].values() for fk in t["foreign"] if fk["table"] == name):
-        _check_children(tx, name)
+        _check_children(tx, name, gone)
+
+
+def _merge(tx: Transaction, name: str, hits: DataFrame, new: list[str]) -> None:
+    """Give the rows named by _file and _row their values _new_<column>; only fragments with hits are rewritten."""
+    table = tx.table(name)
+    touched = tx.store.fragments_of(table, hits)
+    if not touched:
+        return
+    old = tx.store.read(table, touched, places=True)
+    values = hits.select(F.col("_file").alias("_f"), F.col("_row").alias("_r"), *[f"_new_{c}" for c in new])
+    joined = old.join(values, (F.col("_file") == F.col("_f")) & (F.col("_row") == F.col("_r")), "left")
+    out = joined.select(*[F.when(F.col("_f").isNotNull(), F.col(f"_new_{c['name']}")).otherwise(F.col(c["name"])).alias(c["name"]) if c["name"] in new else F.col(c["name"]) for c in table["columns"]])
+    fresh = _replace(tx, name, touched, out)
+    _after_change(tx, name, set(new), fresh, old.join(values, (F.col("_file") == F.col("_f")) & (F.col("_row") == F.col("_r")), "left_semi"))
 
 
 def update_from(tx: Transaction, name: str, assign: dict[str, str], source: DataFrame, source_name: str, where: str | None) -> None:
     """UPDATE .. FROM: of several matching source rows the first in the order of all their columns counts."""
     table = tx.table(name)
-    names = [c["name"] for c in table["columns"]]
     kinds = {c["name"]: c["type"] for c in table["columns"]}
     new = {_find(table, c)["name"]: e for c, e in assign.items()}
-    marked = tx.store.spark.read.parquet(_materialized(tx, tx.rows(name).withColumn("_row", F.monotonically_increasing_id())))
-    t, s = marked.alias(name), source.alias(source_name)
+    t, s = tx.store.read(table, places=True).alias(name), source.alias(source_name)
     pairs = t.join(s, F.expr(where) if where else F.lit(True))
-    w = Window.partitionBy("_row").orderBy(*[F.col(f"{source_name}.{c}").asc_nulls_last() for c in source.columns])
-    first = pairs.select(F.col("_row").alias("_hit"), *[F.expr(e).try_cast(kinds[c]).alias(f"_new_{c}") for c, e in new.items()], F.row_number().over(w).alias("_rn")).where("_rn = 1").drop("_rn")
-    joined = marked.join(first, F.col("_row") == F.col("_hit"), "left")
-    out = joined.select(*[F.when(F.col("_hit").isNotNull(), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in names])
-    table["fragments"] = [tx.stage(name, out)]
-    _after_change(tx, name, set(new))
+    order = F.struct(*[F.struct(F.col(f"{source_name}.{c}").isNull(), F.col(f"{source_name}.{c}")) for c in source.columns])
+    values = F.struct(*[F.expr(e).try_cast(kinds[c]).alias(f"_new_{c}") for c, e in new.items()])
+    first = pairs.groupBy("_file", "_row").agg(F.min_by(values, order).alias("_v")).select("_file", "_row", "_v.*")
+    _merge(tx, name, tx.written(first), list(new))
 
 
 def delete(tx: Transaction, name: str, where: str | None = None) -> None:
+    table = tx.table(name)
     hit = F.coalesce(F.expr(where), F.lit(False)) if where else F.lit(True)
-    _rewrite(tx, name, hit, lambda rows: rows.where(~hit))
-    _check_children(tx, name)
+    touched = tx.store.fragments_of(table, tx.store.read(table, places=True).alias(name).where(hit))
+    if not touched:
+        return
+    old = tx.store.read(table, touched).alias(name)
+    _replace(tx, name, touched, old.where(~hit))
+    _check_children(tx, name, old.where(hit))
 
 
 def truncate(tx: Transaction, name: str) -> None:
@@ -248,30 +273,19 @@ def upsert(tx: Transaction, name: str, rows: DataFrame, columns: list[str] | Non
     """
     table = tx.table(name)
     names = [c["name"] for c in table["columns"]]
+    kinds = {c["name"]: c["type"] for c in table["columns"]}
     key = [_find(table, k)["name"] for k in key]
-    new = tx.store.spark.read.parquet(_materialized(tx, complete(tx, name, rows, columns)))
+    new = tx.written(complete(tx, name, rows, columns))
     total = Window.partitionBy(*key).orderBy(*[F.col(c).asc_nulls_last() for c in names])
     null_key = F.lit(False)
     for k in key:
         null_key = null_key | F.col(k).isNull()
-    first = new.withColumn("_rn", F.row_number().over(total)).where((F.col("_rn") == 1) | null_key).drop("_rn")
-    first = tx.store.spark.read.parquet(_materialized(tx, first))
-    there = tx.rows(name).select(*key)
-    fresh = tx.store.spark.read.parquet(_materialized(tx, first.join(there, key, "left_anti").select(*names)))
+    first = tx.written(new.withColumn("_rn", F.row_number().over(total)).where((F.col("_rn") == 1) | null_key).drop("_rn"))
+    fresh = tx.written(first.join(tx.rows(name).select(*key), key, "left_anti").select(*names))
     if assign is not None:
-        excluded = first.alias("excluded")
-        renamed = excluded.select(*[F.col(k).alias(f"_k_{k}") for k in key], *[F.col(c).alias(f"_x_{c}") for c in names])
-        target = tx.rows(name)
-        on = F.lit(True)
-        for k in key:
-            on = on & (F.col(k) == F.col(f"_k_{k}"))
         values = {_find(table, c)["name"]: e for c, e in assign.items()}
-        for c in names:
-            values = {k: e.replace(f"excluded.{c}", f"_x_{c}").replace(f"EXCLUDED.{c}", f"_x_{c}") for k, e in values.items()}
-        joined = target.join(renamed, on, "left")
-        hit = F.col(f"_k_{key[0]}").isNotNull()
-        out = joined.select(*[F.when(hit, F.expr(values[c])).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in names])
-        table["fragments"] = [tx.stage(name, out)] if table["fragments"] else []
+        there, excluded = tx.store.read(table, places=True).alias(name), first.alias("excluded")
+        on = [F.col(f"{name}.{k}") == F.col(f"excluded.{k}") for k in key]
+        hits = there.join(excluded, on).select("_file", "_row", *[F.expr(e).try_cast(kinds[c]).alias(f"_new_{c}") for c, e in values.items()])
+        _merge(tx, name, tx.written(hits), list(values))
     _append(tx, name, fresh)
-    if assign is not None:
-        _after_change(tx, name, set(values))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,10 +65,3 @@ def combine(left: DataFrame, right: DataFrame, kind: str) -> DataFrame:
         "intersect": lambda: left.intersect(right),
         "intersect all": lambda: left.intersectAll(right),
     }[kind]()
-
-
-def first_match(target: DataFrame, source: DataFrame, on: Column, target_key: Sequence[str], order: Sequence[Column], take: Mapping[str, Column]) -> DataFrame:
-    """Left join that keeps one source row a target row: the first in the given total order."""
-    joined = target.join(source, on, "left")
-    w = Window.partitionBy(*target_key).orderBy(*order)
-    return joined.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn").select(*target_key, *[c.alias(n) for n, c in take.items()])

@@ -15,12 +15,6 @@ def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
-    """Temp views of the named tables (all by default)."""
-    for name in names or NAMES:
-        scan(spark, sf_dir, name).createOrReplaceTempView(name)
-
-
 def sink(df: DataFrame, path: str, mode: str = "append", partition_by: tuple[str, ...] = ()) -> None:
     """Write rows as Parquet."""
     writer = df.write.mode(mode)
@@ -28,6 +22,13 @@ def sink(df: DataFrame, path: str, mode: str = "append", partition_by: tuple[str
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh place in the folder that driver and executors share; a local one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="millrace-")
+    """A fresh place in the folder that driver and executors share: spark.checkpoint.dir, else the warehouse.
+
+    A machine-local temporary folder is taken only where driver and executors are one process.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None and spark.sparkContext.master.startswith("local"):
+        root = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        spark.sparkContext.setCheckpointDir(root)
+    root = root or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
