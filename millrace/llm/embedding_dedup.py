@@ -1,26 +1,35 @@
 """Near-duplicate embeddings: spherical k-means cells, blocked cosine products, one representative a group.
 
-A vector goes to its nearest cell and to each cell whose centroid is less than MARGIN worse by cosine: of two vectors
-with cosine >= 0.95 the second's nearest cell is then among the first's with all but vanishing probability.
-A pair that meets in several cells counts in the first one they share.
+Vectors of one length are split into cells of about CELL_ROWS vectors, and cells that are still large once more. A vector lives
+in its nearest cell, its home, and visits those cells numbered lower than its home whose centroid is less than MARGIN worse by cosine. A pair with cosine >= 0.95
+is compared once, in the lower one of its two homes: the other vector visits that with all but vanishing probability. Visitors are not compared
+with each other, so rows grow with the number of visits (about two a vector) and not with its square.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import connected_components, prepare, written
+from millrace.llm.common import connected_components, prepare, small, written
 
 THRESHOLD = 0.95
-MARGIN = 0.16
+MARGIN = 0.18
 SAMPLE = 20_000
-"""The cells are fitted on at most about so many vectors; every vector is assigned."""
-CELL_ROWS = 400
-MAX_CELLS = 4096
-BLOCK = 4096
+"""The centroids of a cell's parts are fitted on about so many of its vectors; every vector is assigned."""
+CELL_ROWS = 4000
+PARTS = 256
+"""A cell is split into at most so many parts."""
+LEVELS = 2
+BLOCK = 12_000
+"""Vectors, homes and visits together, that one task compares with each other; a larger cell becomes pairs of blocks."""
+BROADCAST_BYTES = 64 << 20
+"""Centroids of one level are broadcast up to so many bytes, more of them are joined to the rows."""
 
 
 def fit_cells(vectors: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -36,60 +45,117 @@ def fit_cells(vectors: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np
     return centroids
 
 
-def _union(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in zip(left.tolist(), right.tolist(), strict=True):
-        ra, rb = root(a), root(b)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-    return np.array([root(x) for x in range(n)], dtype=np.int64)
+def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Centroids of one cell's parts, from the sample of it; none where a split would make most vectors visit most parts."""
+    pdf = pdf.sort_values("rid")
+    vectors = np.array(pdf["v"].tolist(), dtype=np.float64)
+    k = min(int(pdf["parts"].iloc[0]), len(vectors))
+    centroids = fit_cells(vectors, k)
+    like = vectors @ centroids.T
+    if k > 1 and (like >= like.max(1)[:, None] - MARGIN).mean() > 0.5:
+        centroids = centroids[:0]
+    return pd.DataFrame({"leaf": [pdf["leaf"].iloc[0]], "centroids": [centroids.reshape(-1)]})
+
+
+_ROWS = "rid long, copies long, v array<double>, leaf string, home boolean"
+
+
+def _assign(known: dict[str, np.ndarray] | None):
+    """Rows moved from their cell to its parts: a home row to its nearest part and those of lower number within MARGIN, a visitor to all within MARGIN."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaves, homes = batch.column(3).to_pylist(), batch.column(4).to_numpy(zero_copy_only=False)
+            vectors, joined = batch.column(2), batch.column(5)
+            take, parts, at_home = [], [], []
+            for leaf in dict.fromkeys(leaves):
+                own = np.array([k for k, x in enumerate(leaves) if x == leaf])
+                flat = known.get(leaf) if known is not None else joined[int(own[0])].values
+                if flat is None or not len(flat):
+                    take.append(own)
+                    parts += [leaf] * len(own)
+                    at_home.append(homes[own])
+                    continue
+                v = vectors.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+                like = v @ np.asarray(flat, dtype=np.float64).reshape(-1, v.shape[1]).T
+                nearest = like.argmax(1)
+                number = np.arange(like.shape[1])[None]
+                near = like >= like.max(1)[:, None] - MARGIN
+                near &= ~homes[own][:, None] | (number <= nearest[:, None])
+                i, j = np.nonzero(near)
+                take.append(own[i])
+                parts += [f"{leaf}/{c}" for c in j.tolist()]
+                at_home.append(homes[own[i]] & (j == nearest[i]))
+            if take:
+                order = pa.array(np.concatenate(take))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(order) for k in range(3)), pa.array(parts, pa.string()), pa.array(np.concatenate(at_home))], names=["rid", "copies", "v", "leaf", "home"])
+
+    return work
+
+
+def split_cells(rows: DataFrame, level: int) -> DataFrame:
+    """One more level of cells for those that have over twice CELL_ROWS vectors at home; centroids come from a bounded sample of each."""
+    spark = rows.sparkSession
+    sizes = rows.where("home").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * CELL_ROWS)
+    sizes = written(sizes, "large-cells")
+    if sizes.isEmpty():
+        return rows
+    plan = sizes.select("leaf", F.least(F.lit(PARTS), F.ceil(F.col("n") / CELL_ROWS)).cast("int").alias("parts"), (F.lit(SAMPLE * 1e6) / F.col("n")).alias("share"))
+    drawn = rows.where("home").join(small(plan), "leaf").where(F.pmod(F.xxhash64("rid", F.lit(level)), F.lit(1_000_000)) <= F.col("share"))
+    fitted = written(drawn.select("leaf", "rid", "v", "parts").groupBy("leaf").applyInPandas(_fit, "leaf string, centroids array<double>"), "centroids")
+    known = None
+    joined = rows.withColumn("centroids", F.lit(None).cast("array<double>"))
+    if (fitted.agg(F.sum(F.size("centroids"))).first()[0] or 0) * 8 <= BROADCAST_BYTES:
+        known = {r["leaf"]: np.array(r["centroids"]) for r in fitted.collect()}  # BROADCAST_BYTES at most
+    else:
+        joined = rows.join(fitted, "leaf", "left")
+    moved = joined.select("rid", "copies", "v", "leaf", "home", "centroids").mapInArrow(_assign(known), _ROWS)
+    return written(moved, "cells")
+
+
+def _hits(a: np.ndarray, b: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    for at in range(0, len(a), 512):
+        yield at, a[at : at + 512] @ b.T >= threshold
 
 
-def _pairs_of(a: np.ndarray, pa_: np.ndarray, b: np.ndarray, pb: np.ndarray, cell: int, threshold: float, same: bool):
-    """Rows and columns of the pairs over the threshold that no earlier cell holds, a strip of a at a time."""
-    for at in range(0, len(a), 512):
-        hit = a[at : at + 512] @ b.T >= threshold
-        if same:
-            hit &= np.arange(len(b))[None, :] > (at + np.arange(len(hit)))[:, None]
-        i, j = np.nonzero(hit)
-        if len(i) and cell:
-            rows, columns = np.unique(i), np.unique(j)
-            shared = pa_[at + rows][:, :cell] @ pb[columns][:, :cell].T > 0
-            fresh = ~shared[np.searchsorted(rows, i), np.searchsorted(columns, j)]
-            i, j = i[fresh], j[fresh]
-        yield i + at, j
-
-
-def _block(threshold: float, cells: int):
+def _block(threshold: float):
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        cell, right = int(pdf["cell"].iloc[0]), bool(pdf["other"].any())
+        """Links and the smallest reached id of each vector, from the pairs of two blocks (or within one) of which one at least is at home."""
         pdf = pdf.sort_values("rid", kind="stable")
-        rid, copies, side = pdf["rid"].to_numpy(), pdf["copies"].to_numpy(), pdf["other"].to_numpy()
+        rid, copies = pdf["rid"].to_numpy(), pdf["copies"].to_numpy().astype(np.float64)
+        side, home = pdf["other"].to_numpy(), pdf["home"].to_numpy()
         v = np.array(pdf["v"].tolist(), dtype=np.float64)
-        probes = np.zeros((len(pdf), cells), dtype=np.float32)
-        for k, p in enumerate(pdf["probes"]):
-            probes[k, p] = 1
-        one = np.flatnonzero(~side)
-        two = np.flatnonzero(side) if right else one
-        found = [(one[i], two[j]) for i, j in _pairs_of(v[one], probes[one], v[two], probes[two], cell, threshold, not right)]
-        i = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
-        j = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
-        links = np.bincount(i, copies[j], len(rid)) + np.bincount(j, copies[i], len(rid))
-        root = _union(len(rid), i, j)
-        touched = np.flatnonzero(links)
-        return pd.DataFrame({"rid": rid[touched], "links": links[touched].astype(np.int64), "low": rid[root[touched]]})
+        links, label = np.zeros(len(rid)), np.arange(len(rid))
+        pick = np.flatnonzero
+        if side.any():
+            jobs = [(pick(~side & home), pick(side), False), (pick(~side & ~home), pick(side & home), False)]
+        else:
+            jobs = [(pick(home), pick(home), True), (pick(home), pick(~home), False)]
+        for one, two, same in jobs:
+            if not len(one) or not len(two):
+                continue
+            right = v[two]
+            for at, hit in _hits(v[one], right, threshold):
+                if same:
+                    hit &= np.arange(len(two))[None, :] > (at + np.arange(len(hit)))[:, None]
+                rows = pick(hit.any(1))
+                if not len(rows):
+                    continue
+                own, hit = one[at + rows], hit[rows]
+                links[own] += hit @ copies[two]
+                links[two] += copies[own] @ hit
+                for r, row in zip(own.tolist(), hit, strict=True):
+                    reached = label[two[row]]
+                    if label[r] != reached[0] or (reached != reached[0]).any():
+                        all_ = np.unique(np.append(reached, label[r]))
+                        label[np.isin(label, all_)] = all_[0]
+        touched = pick(links)
+        return pd.DataFrame({"rid": rid[touched], "links": np.rint(links[touched]).astype(np.int64), "low": rid[label[touched]]})
 
     return compare
 
 
-def dedup_embeddings(rows: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
+def dedup_embeddings(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row of (vec_id, embedding).
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of
@@ -97,7 +163,7 @@ def dedup_embeddings(rows: DataFrame, threshold: float = THRESHOLD, margin: floa
     the others, also where vec_id repeats. A row of null vec_id counts as a link of others but has a null
     component and kept = true. Further columns are ignored; an empty table gives no rows.
     """
-    spark = prepare(rows.sparkSession)
+    prepare(rows.sparkSession)
     base = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("e"))
     fine = F.coalesce(F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))), F.lit(False)) & F.coalesce(F.exists("e", lambda x: x != 0), F.lit(False))
     base = base.withColumn("e", F.when(fine, F.col("e")))
@@ -111,35 +177,14 @@ def dedup_embeddings(rows: DataFrame, threshold: float = THRESHOLD, margin: floa
     first = F.row_number().over(Window.partitionBy("low_id").orderBy("key")) == 1
     rid = F.when(F.col("low_id").isNotNull() & first, F.col("low_id")).otherwise(-F.shiftrightunsigned(F.xxhash64("key"), 1) - 1)
     distinct = written(distinct.withColumn("rid", rid), "unit-vectors")
-    n = distinct.count()
-    if not n:
-        return keyed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dims = [r["dim"] for r in distinct.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(64).collect()]
-    share = min(1.0, SAMPLE / n)
-    found = None
-    for dim in dims:  # as a rule there is one
-        own = distinct.where(F.col("dim") == dim)
-        sample = own.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).orderBy("key").limit(2 * SAMPLE).select("v").collect()
-        if not sample:
-            sample = own.orderBy("key").limit(1).select("v").collect()
-        vectors = np.array([r["v"] for r in sample])
-        k = max(1, min(MAX_CELLS, n // CELL_ROWS, len(vectors)))
-        centroids = spark.sparkContext.broadcast(fit_cells(vectors, k))  # at most MAX_CELLS vectors
-
-        @F.pandas_udf("array<int>")
-        def probes_of(v: pd.Series) -> pd.Series:
-            near = np.array(v.tolist()) @ centroids.value.T
-            return pd.Series([np.flatnonzero(r).astype(np.int32) for r in near >= near.max(1)[:, None] - margin])
-
-        probed = own.select("rid", "copies", "v", probes_of("v").alias("probes")).withColumn("cell", F.explode("probes"))
-        probed = written(probed, "probes")
-        sizes = probed.groupBy("cell").count().withColumn("nb", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
-        blocks = probed.join(F.broadcast(sizes), "cell").withColumn("b", F.pmod(F.xxhash64("rid", "copies"), F.col("nb")).cast("int"))
-        pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least("b", o).alias("i"), F.greatest("b", o).alias("j")))
-        tasks = blocks.withColumn("t", F.explode(pairs)).select("cell", "t.i", "t.j", (F.col("b") != F.col("t.i")).alias("other"), "rid", "copies", "v", "probes")
-        out = tasks.groupBy("cell", "i", "j").applyInPandas(_block(threshold, k), "rid long, links long, low long")
-        found = out if found is None else found.union(out)
-    found = written(found, "vector-links")
+    placed = distinct.select("rid", F.col("copies").cast("long").alias("copies"), "v", F.col("dim").cast("string").alias("leaf"), F.lit(True).alias("home"))
+    for level in range(LEVELS):
+        placed = split_cells(placed, level)
+    sizes = placed.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("nb"))
+    blocks = placed.join(small(written(sizes, "cell-sizes")), "leaf").withColumn("b", F.pmod(F.xxhash64("rid", "copies"), F.col("nb")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least("b", o).alias("i"), F.greatest("b", o).alias("j")))
+    tasks = blocks.withColumn("t", F.explode(pairs)).select("leaf", "t.i", "t.j", (F.col("b") != F.col("t.i")).alias("other"), "home", "rid", "copies", "v")
+    found = written(tasks.groupBy("leaf", "i", "j").applyInPandas(_block(threshold), "rid long, links long, low long"), "vector-links")
     links = found.groupBy("rid").agg(F.sum("links").alias("links"))
     joined = connected_components(found.select(F.col("rid").alias("u"), F.col("low").alias("v")))
     classes = distinct.join(links, "rid", "left").join(joined.withColumnRenamed("node", "rid"), "rid", "left")
