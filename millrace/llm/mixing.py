@@ -2,8 +2,9 @@
 
 Every source is a queue of shuffled documents, repeated up to MAX_COPIES times. A document's virtual
 finish time is the source's cumulative tokens divided by the source's target, so that time 1 is where each
-source has given its target and all together the budget; the mix is the global order by finish time, cut
-at the budget.
+source has given its target and all together the budget; the mix is the global order by finish time, truncated
+at the budget, that is at time 1. The document that a source is giving at that time gives its first words only. timeline() says this once;
+mix() emits its copies in order, mixed_share() adds them up for each document.
 """
 
 from __future__ import annotations
@@ -45,52 +46,66 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     return t.withColumn("free", free["level"]).select("source", "source_size", F.coalesce(F.least("most", F.col("free") * F.col("w")), F.col("most")).alias("target"))
 
 
-def queue_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 17, docs_per_bin: int = 2000, budget: float | None = None) -> DataFrame:
-    """docs + size, source_size, target, and ahead: words of the source that come before the document.
+def timeline(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 17, docs_per_bin: int = 2000, budget: float | None = None) -> DataFrame:
+    """One row a document: doc (a struct of its columns), size, source_size, target, order, and served: a (copy, words, finish) for each copy in the mix.
 
     The shuffled order of a source is by a 60-bit hash of doc_id and text, then doc_id. Prefix sums take two levels: the
     hash deals each source into bins of about docs_per_bin documents, which follow each other in its order; sums of bins are added
     up over one short row for each bin, and documents only within their bin, so a source with a third of all rows is
     spread like any other and the number of bins does not change a result.
     """
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), "text").cast("binary"))
-    sized = docs.withColumn("size", word_count(F.col("text"))).withColumn("_h", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc.doc_id").cast("string"), "doc.text").cast("binary"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    sized = rows.select("doc", F.col("doc.source").alias("source"), word_count(F.col("doc.text")).alias("size"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("order"))
     n = docs.count()
     bins = max(16, min(1 << 20, n // docs_per_bin))
-    sized = sized.withColumn("_bin", F.shiftright(F.shiftright("_h", 40) * F.lit(bins), 20))
-    sums = written(sized.groupBy("source", "_bin").agg(F.sum("size").alias("_sum")), "mix-bins")
-    before = Window.partitionBy("source").orderBy("_bin")
-    bin_starts = sums.select("source", "_bin", (F.sum("_sum").over(before) - F.col("_sum")).alias("_start"))
-    targets = source_targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, budget)
-    starts = bin_starts.alias("b").join(targets.alias("t"), F.expr("b.source <=> t.source")).select(F.col("b.source").alias("_src"), F.col("_bin").alias("_b"), "_start", "source_size", "target")
-    inner = Window.partitionBy("source", "_bin").orderBy("_h", F.col("doc_id").asc_nulls_last())
-    placed = sized.withColumn("_in", F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    joined = placed.join(starts, F.expr("source <=> _src and _bin = _b"), "left")
-    return joined.withColumn("ahead", F.col("_start") + F.col("_in")).drop("_src", "_b", "_start", "_in", "_bin")
+    sized = sized.withColumn("bin", F.shiftright(F.shiftright("order", 40) * F.lit(bins), 20))
+    sums = written(sized.groupBy("source", "bin").agg(F.sum("size").alias("sum")), "mix-bins")
+    before = Window.partitionBy("source").orderBy("bin")
+    bin_starts = sums.select("source", "bin", (F.sum("sum").over(before) - F.col("sum")).alias("start"))
+    targets = source_targets(sums.groupBy("source").agg(F.sum("sum").alias("source_size")), weights, budget)
+    starts = bin_starts.alias("b").join(targets.alias("t"), F.expr("b.source <=> t.source")).select(F.col("b.source").alias("of"), F.col("bin").alias("at"), "start", "source_size", "target")
+    inner = Window.partitionBy("source", "bin").orderBy("order", F.col("doc.doc_id").asc_nulls_last())
+    placed = sized.withColumn("inside", F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    joined = placed.join(starts, F.expr("source <=> of and bin = at"), "left").withColumn("ahead", F.col("start") + F.col("inside"))
+    cut = F.round("target").cast("long")
+
+    def served(c: int) -> Column:
+        begin = F.col("ahead") + F.lit(c).cast("long") * F.col("source_size")
+        words = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), cut - begin))
+        return F.struct(F.lit(c).cast("long").alias("copy"), words.alias("words"), F.least(F.lit(1.0), (begin + words) / F.col("target")).alias("finish"))
+
+    copies = F.filter(F.array(*[served(c) for c in range(MAX_COPIES)]), lambda x: x["words"] > 0)
+    return joined.select("doc", "size", "source_size", "target", "order", copies.alias("served"))
 
 
 def mixed_share(docs: DataFrame, **how) -> DataFrame:
-    """Per document: size, source_size, target and taken, the words that the mix takes, repeats counted.
+    """doc_id, source, size, source_size, target and taken of each document: the words of it that the mix emits, repeats counted.
 
-    Copy c of a document begins at virtual time (ahead + c x source_size) / target; what lies before time
-    1 is taken, the document at the cut in part. Null text and empty text have size 0 and are never taken; a null
-    source is a source of its own, last in order; repeated rows are documents of their own; an empty
+    Null text and empty text have size 0 and are never taken; a null source is a source of its own, last in order; repeated rows are
+    documents of their own; ties in the shuffled order are of equal documents alone; further columns, whatever their names, do not matter; an empty
     table gives no rows.
     """
-    q = queue_documents(docs, **how)
-    cut = F.round("target").cast("long")
-    taken = sum((F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), cut - F.col("ahead") - F.lit(c) * F.col("source_size"))) for c in range(MAX_COPIES)), F.lit(0).cast("long"))
-    return q.withColumn("taken", taken.cast("long")).drop("_h", "ahead")
+    taken = F.aggregate("served", F.lit(0).cast("long"), lambda a, x: a + x["words"])
+    return timeline(docs.select("doc_id", "text", "source"), **how).select("doc.doc_id", "doc.source", "size", "source_size", "target", taken.alias("taken"))
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """A text up to the end of its n-th word."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, n.cast("int")), "")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mixed corpus: docs' columns, a row for each copy taken, + copy and finish, dealt and sorted by finish.
+    """The mixed corpus in order of finish time: doc (a struct of docs' columns), copy, words, finish; a row for each copy taken.
 
-    Documents stay whole: the one at a source's cut is taken if at least half of it lies before the cut.
+    A copy at its source's cut has a text of its first words only, and an n_chars, if there is one, to match. Documents of no words are never
+    taken; null sources, repeated rows, ties and an empty table are as in mixed_share. Columns of any name come out as they went in.
     """
-    q = queue_documents(docs, **how)
-    start = F.col("ahead") + F.col("copy") * F.col("source_size")
-    copies = q.withColumn("copy", F.explode(F.array(*[F.lit(c).cast("long") for c in range(MAX_COPIES)])))
-    copies = copies.where((F.col("size") > 0) & (2 * start + F.col("size") <= 2 * F.col("target")))
-    timed = copies.withColumn("finish", (start + F.col("size")) / F.col("target"))
-    return timed.repartitionByRange("finish", "_h").sortWithinPartitions("finish", "_h").select(*docs.columns, "copy", "finish")
+    copies = timeline(docs, **how).select("doc", "size", "order", F.explode("served").alias("c"))
+    whole = F.col("c.words") == F.col("size")
+    text = first_words(F.col("doc.text"), F.col("c.words"))
+    cut = F.col("doc").withField("text", text)
+    if "n_chars" in docs.columns:
+        cut = cut.withField("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    timed = copies.select(F.when(whole, F.col("doc")).otherwise(cut).alias("doc"), "c.copy", "c.words", "c.finish", "order")
+    return timed.repartitionByRange("finish", "order").sortWithinPartitions("finish", "order").drop("order")
