@@ -35,8 +35,8 @@ def _lower_hex(n: Column) -> Column:
 
 
 def _pieces(text: Column, n: int) -> Column:
-    """Substrings of n characters each, none for an empty text."""
-    return F.transform(F.sequence(F.lit(0), F.ceil(F.length(text) / n).cast("int") - 1), lambda k: F.substring(text, k * n + 1, F.lit(n)))
+    """Stretches of n characters each, none for an empty text; one walk over the text, however long."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{n}}}"), F.lit(0))
 
 
 def chunked(text: Column) -> Column:
