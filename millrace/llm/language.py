@@ -18,13 +18,10 @@ from pyspark.sql import functions as F
 from millrace.llm.common import fold_of, prepare
 
 SAMPLE_DOCS = 300
-"""Documents of each language whose text may enter its dictionary."""
-SAMPLE_CHARS = 2000
-"""Characters that one of them may give."""
-DICTIONARY_BYTES = 160_000
+"""Documents of each language that give a window of their text to its dictionary."""
+SAMPLE_CHARS = 160_000
+"""Characters of a language's windows together: each of n documents gives a window of SAMPLE_CHARS / n, drawn anywhere in its whole text."""
 BLOCK = 4096
-SHORT = 400
-"""Texts of at most so many bytes are encoded by the thorough strategy, longer ones by the fast one."""
 REJECT = 0.004
 UNKNOWN = "und"
 
@@ -42,10 +39,8 @@ class Compressors:
 
     def __init__(self, samples: dict[str, bytes]) -> None:
         self.languages = sorted(samples)
-        common = {"window_log": 20, "hash_log": 17, "chain_log": 17, "search_log": 3, "write_content_size": 0, "write_checksum": 0, "write_dict_id": 0}
-        fast = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, min_match=4, **common)
-        thorough = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_BTULTRA, min_match=3, **common)
-        self.coders, self.thorough = ([self._coder(samples[name], p) for name in self.languages] for p in (fast, thorough))
+        params = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_BTOPT, min_match=3, window_log=20, hash_log=17, chain_log=17, search_log=3, write_content_size=0, write_checksum=0, write_dict_id=0)
+        self.coders = [self._coder(samples[name], params) for name in self.languages]
 
     @staticmethod
     def _coder(sample: bytes, params: zstandard.ZstdCompressionParameters) -> zstandard.ZstdCompressor:
@@ -56,10 +51,9 @@ class Compressors:
     def sizes(self, letters: str) -> list[int]:
         data = f" {letters} ".encode("utf-8", "surrogatepass")
         totals = [0] * len(self.coders)
-        coders = self.thorough if len(data) <= SHORT else self.coders
         for at in range(0, len(data), BLOCK):
             block = data[at : at + BLOCK]
-            for k, coder in enumerate(coders):
+            for k, coder in enumerate(self.coders):
                 totals[k] += len(coder.compress(block))
         return totals
 
@@ -76,19 +70,25 @@ class Compressors:
 
 
 def learn(docs: DataFrame) -> dict[str, bytes]:
-    """Dictionary text of each language, from a bounded sample of rows that may be learned from."""
-    rows = docs.where(F.col("lang").isNotNull() & ~fold_of("doc_id") & F.col("text").isNotNull())
+    """Dictionary text of each language, from a bounded sample of rows that may be learned from.
+
+    The driver gets a count for each language, and SAMPLE_CHARS characters of each, drawn by hashes of doc_id.
+    """
+    rows = docs.where(F.col("lang").isNotNull() & ~fold_of("doc_id") & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
     if not counts:
         return {}
-    share = F.create_map(*[x for k, c in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, SAMPLE_DOCS / c) * 1_000_000) + 1))])
-    picked = rows.withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))).where(F.col("_h") < share[F.col("lang")])
-    got = picked.select("lang", "_h", F.substring("text", 1, SAMPLE_CHARS).alias("part")).collect()  # about SAMPLE_DOCS rows a language
+    of = lambda value: F.create_map(*[x for k, c in counts.items() for x in (F.lit(k), F.lit(value(c)))])[F.col("lang")]
+    width = of(lambda c: SAMPLE_CHARS // min(SAMPLE_DOCS, c))
+    drawn = rows.withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_000))).where(F.col("_h") < of(lambda c: min(1_000_000_000, 1_500_000_000 * SAMPLE_DOCS // c + 1)))
+    start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - width + 1)).cast("int") + 1
+    got = drawn.select("lang", "_h", F.substring("text", start, width).alias("part")).collect()
     samples: dict[str, list[bytes]] = {}
     for r in sorted(got, key=lambda r: (r["lang"], r["_h"], r["part"])):
-        if letters := letters_of(r["part"]):
-            samples.setdefault(r["lang"], []).append(letters.encode("utf-8", "surrogatepass"))
-    return {k: b" ".join(v)[-DICTIONARY_BYTES:] for k, v in samples.items()}
+        own = samples.setdefault(r["lang"], [])
+        if len(own) < SAMPLE_DOCS and (letters := letters_of(r["part"])):
+            own.append(letters.encode("utf-8", "surrogatepass"))
+    return {k: b" ".join(v) for k, v in samples.items() if v}
 
 
 def identify(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
@@ -100,7 +100,7 @@ def identify(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     predicted one by one; further columns are ignored; an empty table gives no rows.
     """
     spark = prepare(docs.sparkSession)
-    samples = spark.sparkContext.broadcast(learn(docs))  # DICTIONARY_BYTES a language at most
+    samples = spark.sparkContext.broadcast(learn(docs))  # SAMPLE_CHARS a language
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders = Compressors(samples.value)
@@ -114,7 +114,11 @@ def identify(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose language is unknown or rejected; all columns stay as they are."""
+    """docs without the rows whose language is unknown or rejected; all columns, whatever their names, stay as they are.
+
+    Null, empty and letterless texts go; where nothing can be learned every row goes; null doc_ids and repeated rows are judged one by one, by their text;
+    an empty table gives no rows.
+    """
     spark = prepare(docs.sparkSession)
     samples = spark.sparkContext.broadcast(learn(docs))
     at = docs.columns.index("text")
