@@ -1,7 +1,7 @@
 """Packing documents into token windows that keep the sources' proportions.
 
 Deficit round-robin: in round k each source's queue may have sent floor((k + 1) x quantum) tokens in all, quantum being its
-share of one window, so what a round could not send stays in its favour, across windows and partitions alike. A
+exact share of one window, so what a round could not send stays in its favour, across windows and partitions alike. A
 queue is cut where its credit ends. The position of any token in the packed stream follows from the sources' totals
 alone; no partition waits for another, and nothing but one row for each source and partition is added up. That takes the totals of all
 sources in one place; where sources are many, the pieces are sorted by round and source instead, and their lengths added up: the same stream.
@@ -9,11 +9,12 @@ sources in one place; where sources are many, the pieces are sorted by round and
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,7 @@ class Encoder(dict):
     """Ids of whole texts, as the tokenizers library gives them, by way of a bounded memory of words.
 
     The vocabulary lower-cases, then encodes each word by itself, so a text's ids are its words' ids. A text with characters beyond
-    Latin, where normalisation could join or change neighbours, goes to the library as a whole.
+    Latin, where normalisation could join or change neighbours, goes to the library as a whole, and so does one with a special token's name.
     """
 
     def __init__(self, path: str) -> None:
@@ -61,7 +62,8 @@ class Encoder(dict):
 
         self.older: dict[str, bytes] = {}
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        names = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(names) or r"(?!)", re.I)
         self.kind = np.dtype("<u2") if self.whole.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
 
     def _ids(self, text: str) -> bytes:
@@ -81,7 +83,7 @@ class Encoder(dict):
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of the text and END_ID behind them."""
         text = text or ""
-        data = b"".join(map(self.__getitem__, _PIECES.findall(text.lower()))) if _PLAIN.fullmatch(text) else self._ids(text)
+        data = b"".join(map(self.__getitem__, _PIECES.findall(text.lower()))) if _PLAIN.fullmatch(text) and not self.special.search(text) else self._ids(text)
         return np.append(np.frombuffer(data, self.kind), self.kind.type(END_ID))
 
 
@@ -113,28 +115,52 @@ def _tokenize(path: str | None):
     return work
 
 
-def quantum_of(share: float, shares: float, window: int) -> float:
-    return max(share / max(shares, 1e-300) * window, 1e-6)
+class Credit(NamedTuple):
+    """A queue of `total` tokens that may have sent floor(k x num / den) before its k-th round from round `first` on."""
 
+    total: int
+    num: int
+    den: int
+    first: int = 0
 
-def _limit(total: int, quantum: float, k: int) -> int:
-    """Tokens that a queue has sent before round k."""
-    return min(total, math.floor(float(k) * quantum))
+    def sent(self, k: int) -> int:
+        """Tokens that the queue has sent before round k."""
+        return min(self.total, max(0, k - self.first) * self.num // self.den)
 
+    def round_of(self, x: int) -> int:
+        """The round in which the queue sends its token x."""
+        return self.first - (-(x + 1) * self.den // self.num) - 1
 
-def _round_of(total: int, quantum: float, x: int) -> int:
-    """The round in which a queue sends its token x."""
-    k = max(0, int((x + 1) / quantum) - 2)
-    while _limit(total, quantum, k + 1) <= x:
-        k += 1
-    return k
+    @property
+    def last(self) -> int:
+        """The first round in which nothing is left."""
+        return self.round_of(self.total - 1) + 1 if self.total else self.first
 
 
-def pieces(total: int, quantum: float, start: int, end: int) -> Iterator[tuple[int, int, int]]:
-    """(from, to, round) of a stretch of a queue, cut where its credit of a round ends."""
+def credits_of(totals: dict[str | None, int], weights: dict[str | None, float] | None, window: int, unweighted: int | None = None) -> tuple[dict[str | None, Credit], int]:
+    """A credit for each queue, and the round from which queues without weight send, in proportion to their totals.
+
+    unweighted is the sum of the totals of all queues without weight, where totals does not name them all.
+    """
+    shares = {q: Fraction(weights.get(q, 0)) if weights else Fraction(t) for q, t in totals.items()}
+    if any(w < 0 for w in shares.values()):
+        raise ValueError("a weight is below zero")
+    whole = sum(shares.values())
+    out = {}
+    for q, t in totals.items():
+        if shares[q]:
+            quantum = shares[q] / whole * window
+            out[q] = Credit(t, quantum.numerator, quantum.denominator)
+    first = max((c.last for c in out.values()), default=0)
+    rest = unweighted if unweighted is not None else sum(t for q, t in totals.items() if not shares[q])
+    return out | {q: Credit(t, t * window, rest, first) for q, t in totals.items() if not shares[q] and t}, first
+
+
+def pieces(credit: Credit, start: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """(from, to, round) of a stretch of a queue, cut where its credit of a round ends; each in constant time, whatever the share."""
     while start < end:
-        k = _round_of(total, quantum, start)
-        stop = min(end, _limit(total, quantum, k + 1))
+        k = credit.round_of(start)
+        stop = min(end, credit.sent(k + 1))
         yield start, stop, k
         start = stop
 
@@ -156,16 +182,19 @@ def bounds(total: int, window: int, position: int) -> tuple[int, int, int]:
 
 
 class Rounds:
-    """Where the deficit round-robin puts each token of each queue."""
+    """Where the deficit round-robin puts each token of each queue, in exact integers."""
 
-    def __init__(self, totals: list[int], shares: list[float], window: int = WINDOW) -> None:
-        self.totals = np.array(totals, np.int64)
-        self.quantum = np.array([quantum_of(x, sum(shares), window) for x in shares], np.float64)
-        self.window, self.total = window, int(self.totals.sum())
+    def __init__(self, credits: list[Credit], window: int = WINDOW) -> None:
+        self.credits, self.window, self.total = credits, window, sum(c.total for c in credits)
+        # sums of 64 bits suffice unless a corpus is huge
+        self.kind = np.int64 if max((c.last * c.num for c in credits), default=0) < 1 << 62 and max((c.den for c in credits), default=0) < 1 << 62 else object
+        column = lambda f: np.array([getattr(c, f) for c in credits], self.kind)
+        self.totals, self.num, self.den, self.first = (column(f) for f in ("total", "num", "den", "first"))
 
     def sent(self, k: np.ndarray) -> np.ndarray:
         """Tokens that each queue has sent before round k: rounds x queues."""
-        return np.minimum(self.totals, np.floor(np.asarray(k, np.float64)[:, None] * self.quantum).astype(np.int64))
+        k = np.minimum(np.asarray(k).astype(self.kind)[:, None], np.array([c.last for c in self.credits], self.kind))
+        return np.minimum(self.totals, np.maximum(0, k - self.first) * self.num // self.den)
 
 
 _OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -180,10 +209,10 @@ def _place(order: dict[str | None, int], rounds: Rounds, width: int, with_ids: b
             rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
             for r, (_, queue, begin, n, _) in enumerate(rows):
                 s = order[queue]
-                cuts += [(r, a, b, k) for a, b, k in pieces(int(rounds.totals[s]), float(rounds.quantum[s]), begin, begin + n)]
+                cuts += [(r, a, b, k) for a, b, k in pieces(rounds.credits[s], begin, begin + n)]
             if not cuts:
                 continue
-            turns = np.array([c[3] for c in cuts])
+            turns = np.array([c[3] for c in cuts], rounds.kind)
             distinct, at = np.unique(turns, return_inverse=True)
             before, after = rounds.sent(distinct), rounds.sent(distinct + 1)
             # all of the earlier rounds, then this round's queues in order
@@ -221,15 +250,16 @@ _PIECE = "doc_id long, doc_tokens long, start long, ids binary, round long, queu
 _PIECE_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
 
 
-def _cut(shares: float, window: int, width: int):
+def _cut(known: dict[str | None, Credit], first: int, rest: int, window: int, width: int):
+    """Pieces by credits: those of the queues with given weights are known, the others follow from their totals."""
     names = [f.split(" ")[0] for f in _PIECE.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _PIECE_TYPES, strict=True)], names=names)
         for batch in batches:
-            for doc_id, queue, begin, n, ids, total, share in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for a, b, k in pieces(total, quantum_of(share, shares, window), begin, begin + n):
+            for doc_id, queue, begin, n, ids, total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for a, b, k in pieces(known.get(queue) or Credit(total, total * window, rest, first), begin, begin + n):
                     out.append((doc_id, n, a - begin, ids[(a - begin) * width : (b - begin) * width], k, queue, a))
                     if len(out) >= FLUSH:
                         yield flush()
@@ -274,16 +304,16 @@ def _pack_sorted(tokens: DataFrame, sums: DataFrame, weights: dict[str | None, f
     total = sums.agg(F.sum("size")).first()[0]
     whole = Window.partitionBy("queue")
     known = sums.select(F.col("queue").alias("q"), F.col("part").alias("p"), (F.sum("size").over(whole.orderBy("part")) - F.col("size")).alias("ahead"), F.sum("size").over(whole).alias("total"))
-    if weights:
-        given = spark.createDataFrame([(q, float(w)) for q, w in weights.items()], "name string, weight double")
-        known = known.join(F.broadcast(given), F.expr("q <=> name"), "left").select("q", "p", "ahead", "total", F.coalesce("weight", F.lit(0.0)).alias("share"))
-        present = [r["name"] for r in given.join(sums.select("queue").distinct(), F.expr("name <=> queue"), "left_semi").collect()]  # the caller's names at most
-        shares = sum(float(weights[q]) for q in sorted(present, key=lambda q: (q is None, q or "")))
-    else:
-        known, shares = known.withColumn("share", F.col("total").cast("double")), float(total)
+    given, rest = {}, total
+    if weights:  # totals of the caller's names at most
+        names = spark.createDataFrame([(q,) for q, w in weights.items() if w], "name string")
+        own = sums.join(F.broadcast(names), F.expr("queue <=> name")).groupBy("queue").agg(F.sum("size").alias("size")).collect()
+        given = {r["queue"]: r["size"] for r in own}
+        rest = total - sum(given.values())
+    credits, first = credits_of(given, weights, window, rest) if given else ({}, 0)
     known = written(known, "queue-starts")
-    placed = tokens.join(small(known), F.expr("queue <=> q and part = p")).select("doc_id", "queue", (F.col("ahead") + F.col("local")).alias("begin"), "n", "ids", "total", "share")
-    cut = written(placed.mapInArrow(_cut(shares, window, width), _PIECE), "pieces")  # sampled for its ranges, then sorted
+    placed = tokens.join(small(known), F.expr("queue <=> q and part = p")).select("doc_id", "queue", (F.col("ahead") + F.col("local")).alias("begin"), "n", "ids", "total")
+    cut = written(placed.mapInArrow(_cut(credits, first, rest, window, width), _PIECE), "pieces")  # sampled for its ranges, then sorted
     runs = cut.orderBy("round", F.col("queue").isNull(), "queue", "begin").select("doc_id", "doc_tokens", "start", "ids")
     runs = written(runs.mapInArrow(_run(width), "doc_id long, doc_tokens long, start long, ids binary, part long, before long, length long"), "piece-runs")
     ahead, before = {}, 0
@@ -296,7 +326,7 @@ def pack(docs: DataFrame, weights: dict[str | None, float] | None = None, window
     """Pieces of every document with the sequence and offset where they lie; with_ids adds the ids as unsigned 32-bit little-endian bytes.
 
     weights are the sources' shares of a window; by default their shares of all tokens, so that all run out together. A
-    source that runs out leaves its place to the others. Null text is an empty document of one token; a null source is a
+    source that runs out leaves its place to the others; one of no weight follows when the others have run out. Null text is an empty document of one token; a null source is a
     source, a missing source column one source; a null doc_id and repeated rows are documents of their own; further columns are ignored;
     an empty table gives no rows.
     """
@@ -311,8 +341,8 @@ def pack(docs: DataFrame, weights: dict[str | None, float] | None = None, window
         return _pack_sorted(tokens, sums, weights, window, width, with_ids)
     totals = {r["queue"]: r["size"] for r in sums.groupBy("queue").agg(F.sum("size").alias("size")).collect()}  # MAX_QUEUES rows at most
     names = sorted(totals, key=lambda q: (q is None, q or ""))
-    shares = [float((weights or {}).get(q, 0.0)) if weights else float(totals[q]) for q in names]
-    rounds = Rounds([totals[q] for q in names], shares, window)
+    credits, _ = credits_of(totals, weights, window)
+    rounds = Rounds([credits[q] for q in names], window)
     ahead = Window.partitionBy("queue").orderBy("part")
     starts = written(sums.select(F.col("queue").alias("q"), F.col("part").alias("p"), (F.sum("size").over(ahead) - F.col("size")).alias("ahead")), "queue-starts")
     placed = tokens.join(small(starts), F.expr("queue <=> q and part = p")).select("doc_id", "queue", (F.col("ahead") + F.col("local")).alias("begin"), "n", "ids")
