@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import embedding_dedup, fingerprints, html_extract, language, mixing, near_dup, packing, pii, quality, warc
 from millrace.llm.common import connected_components
@@ -102,12 +103,34 @@ def test_mixing(spark, sf, odd_docs):
         assert Counter(got) == Counter(again)
 
 
-def test_mix_is_in_order_and_whole(spark, sf):
-    docs = table(spark, sf, "documents")
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    got = mixing.mix(docs).collect()
-    assert [r.finish for r in got] == sorted(r.finish for r in got)
-    assert all(r.text == texts[r.doc_id] and r.copy < 3 for r in got)
+def test_the_mix_is_what_its_shares_say(spark, sf, odd_docs):
+    for docs in (table(spark, sf, "documents"), odd_docs):
+        size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+        got = mixing.mix(docs).collect()
+        texts = defaultdict(set)
+        for r in docs.collect():
+            texts[r.doc_id].add(r.text)
+        assert [r.finish for r in got] == sorted(r.finish for r in got) and max(r.finish for r in got) <= 1
+        said, given, cut = Counter(), Counter(), Counter()
+        for r in mixing.mixed_share(docs).collect():
+            said[r.doc_id] += r.taken
+        for r in got:
+            assert r.words == size(r.doc.text) and r.copy < 3 and r.doc.__fields__ == docs.columns
+            given[r.doc.doc_id] += r.words
+            if r.doc.text not in texts[r.doc.doc_id]:
+                assert any(t and t.startswith(r.doc.text) for t in texts[r.doc.doc_id]) and r.doc.n_chars == len(r.doc.text)
+                cut[r.doc.source] += 1
+        assert +said == +given
+        assert all(n == 1 for n in cut.values())  # the document at the cut
+
+
+def test_mixing_ignores_clashing_names(spark):
+    plain = spark.createDataFrame([(k, f"w{k} x y " * (k % 5), "ab"[k % 2]) for k in range(40)], "doc_id long, text string, source string")
+    names = ["size", "target", "source_size", "copy", "finish", "order", "bin", "doc", "served", "ahead", "of", "at", "start", "words", "c"]
+    odd = plain.select("*", *[F.concat(F.lit(x), F.col("doc_id").cast("string")).alias(x) for x in names])
+    assert Counter(mixing.mixed_share(odd).collect()) == Counter(mixing.mixed_share(plain).collect())
+    got = mixing.mix(odd).select("doc.*").collect()
+    assert len(got) == mixing.mix(plain).count() and all(r[x] == f"{x}{r.doc_id}" for r in got for x in names)
 
 
 # 3 pages
@@ -309,6 +332,48 @@ def test_language_held_out(spark):
     assert np.mean([r.rejected for r in got]) < 0.02
 
 
+def test_language_matches_a_plain_loop(spark, odd_docs):
+    import zstandard
+
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    samples = language.learn(docs)
+    assert all(0 < len(v.decode()) <= language.SAMPLE_CHARS + language.SAMPLE_DOCS for v in samples.values())
+    for frame in (docs, odd_docs.union(odd_docs)):
+        for r, text in zip(language.identify(docs, frame).collect(), [x.text for x in frame.collect()], strict=True):
+            words = re.findall(r"[^\W\d_]+", (text or "").lower())
+            data = (" " + " ".join(w for k, w in enumerate(words) if not k or w != words[k - 1]) + " ").encode()
+            sizes = []
+            for name in sorted(samples):
+                p = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_BTOPT, min_match=3, window_log=20, hash_log=17, chain_log=17, search_log=3, write_content_size=0, write_checksum=0, write_dict_id=0)
+                coder = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(samples[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=p)
+                sizes.append((sum(len(coder.compress(data[k : k + 4096])) for k in range(0, len(data), 4096)), name))
+            (best, name), (second, _) = sorted(sizes)[:2]
+            if not words:
+                assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            else:
+                assert r.lang_pred == name and r.score == pytest.approx(min(1, 0.5 + 4 * (second - best) / second)) and r.rejected == ((second - best) / second < language.REJECT)
+
+
+def test_learning_reads_whole_texts(spark):
+    # only what lies behind the first characters tells the languages apart
+    head = "0123456789 " * 400
+    words = {"aa": ["kala", "vesi", "metsä", "lintu", "talvi"], "bb": ["brood", "water", "schip", "vogel", "winter"]}
+    rows = [(k, head + " ".join(np.random.default_rng(k).choice(words[x], 400)), x) for k, x in enumerate(["aa", "bb"] * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert all(r.lang_pred == rows[r.doc_id][2] for r in language.identify(docs).collect())
+
+
+def test_short_texts_are_told_apart(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    coders = language.Compressors(language.learn(docs))
+    right = []
+    for r in docs.where("doc_id % 5 = 0").collect():
+        words = (r.text or "").split()
+        if len(words) > 20:
+            right.append(coders.classify(" ".join(words[8:16]))[0] == r.lang)
+    assert np.mean(right) > 0.95
+
+
 def test_language_odd_rows(spark, odd_docs, no_docs):
     got = language.identify(odd_docs).collect()
     assert len(got) == odd_docs.count() and language.identify(no_docs).count() == 0
@@ -536,7 +601,6 @@ def check_packing(rows, got, window=4096):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.default_tokenizer())
-    tok.encode_special_tokens = True
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in got:
         pieces[r.doc_id].append(r)
@@ -622,7 +686,41 @@ def test_each_of_many_sources_keeps_its_queue(spark):
     assert first == {1: 48, 2: 16}
 
 
-@pytest.mark.parametrize("text", ["it's 'tis WE'LL!! naïve ½ x² 42", "Straße ŒUVRE ÑANDÚ $$$ ### a_b", "İstanbul ΣΊΣΥΦΟΣ Ǆ", "é    x", "<|endoftext|> 日本", ""])
+@pytest.mark.parametrize("text", ["it's 'tis WE'LL!! naïve ½ x² 42", "Straße ŒUVRE ÑANDÚ $$$ ### a_b", "İstanbul ΣΊΣΥΦΟΣ Ǆ", "é    x", "a <|endoftext|> b", "A<|ENDOFTEXT|>b <|endoftext", "<|startoftext|>x <s> [PAD] </w>", "<|endoftext|> 日本", ""])
 def test_word_memory_agrees_with_the_library(text):
+    from tokenizers import Tokenizer
+
     e = packing.Encoder(packing.default_tokenizer())
-    assert e.encode(text).tolist() == [*e.whole.encode(text, add_special_tokens=False).ids, 2]
+    assert e.encode(text).tolist() == [*Tokenizer.from_file(packing.default_tokenizer()).encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_packing_of_special_tokens(spark):
+    rows = [(1, "a <|endoftext|> b", "x"), (2, "<|startoftext|>A <|ENDOFTEXT|>", "y"), (3, "plain words", "x")]
+    check_packing([r[:2] for r in rows], packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+
+
+def test_tiny_shares_are_placed_at_once():
+    import time
+
+    totals = {"big": 10**13, "small": 1000, "none": 5000}
+    began = time.time()
+    credits, first = packing.credits_of(totals, {"big": 1.0, "small": 1e-9}, 4096)
+    got = list(packing.pieces(credits["small"], 0, 1000))
+    assert [(a, b) for a, b, _ in got] == [(k, k + 1) for k in range(1000)] and sorted({k for *_, k in got}) == [k for *_, k in got]
+    assert all(credits["small"].sent(k) == a and credits["small"].sent(k + 1) == b for a, b, k in got)
+    late = list(packing.pieces(credits["none"], 0, 5000))
+    assert late[0][2] >= first >= credits["big"].last and [b - a for a, b, _ in late] == [4096, 904]
+    rounds = packing.Rounds(list(credits.values()))
+    assert rounds.kind is object and rounds.sent(np.array([got[5][2]], object))[0][1] == 5
+    assert time.time() - began < 0.5
+
+
+def test_sources_without_weight_follow(spark):
+    rows = [(k, "alpha beta gamma delta " * 20, "ab"[k % 2]) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.pack(docs, weights={"a": 1.0, "b": 0.0}, window=256).collect()
+    check_packing([r[:2] for r in rows], got, 256)
+    place = lambda odd: [r.sequence_id * 256 + r.offset for r in got if r.doc_id % 2 == odd]
+    assert max(place(0)) < min(place(1))
+    with pytest.raises(ValueError, match="below zero"):
+        packing.pack(docs, weights={"a": 1.0, "b": -1.0})
