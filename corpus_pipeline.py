@@ -31,8 +31,11 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their target proportions, in mixed order: documents of heavy sources repeat, some of light ones go."""
-    return mix(docs).select(*docs.columns)
+    """Sources in their target proportions, in mixed order: documents of heavy sources repeat, some of light ones go, and the one at a source's cut is cut.
+
+    Null sources are a source; documents of no words go; an empty table gives no rows.
+    """
+    return mix(docs).select("doc.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
