@@ -15,10 +15,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import connected_components, prepare, written
+from millrace.llm.common import connected_components, prepare, small, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -28,11 +28,11 @@ K = 128
 STRETCH = 1 << 18
 AT_ONCE = 100_000
 """Shingles whose darts are thrown at once (more only for a longer document)."""
-CUT = 0.6
-"""Pairs whose sketches say less are not verified: five standard errors below SIMILARITY."""
+CUT = 0.5
+"""Pairs whose sketches say less are not verified: seven standard errors below SIMILARITY."""
 BUCKET = 4000
-"""A bucket of more documents is dealt into parts that share one document of it."""
-BLOCK = 1_000_000
+"""A bucket of more documents is dealt into parts that share one document of it; what that leaves apart is compared exactly, see missed_links."""
+BLOCK = 50_000
 """Shingles, about, in a block of a cluster that is examined again; larger clusters are split into pairs of blocks, see block_pairs."""
 
 _WORD = re.compile(r"[^\x00-/:-@\[-`{-\x7f]+")
@@ -182,9 +182,12 @@ def _portions(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
     yield start, len(sets)
 
 
+_SIGNED = "doc_id long, h1 long, h2 long, k1 long, k2 long, bands array<long>, sketch array<long>, bare boolean"
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1).to_pylist()
+        texts = batch.column(3).to_pylist()
         sets = [shingles_of(t) for t in texts]
         keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass"), seed=1) for s, t in zip(sets, texts, strict=True)]
         halves = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
@@ -192,7 +195,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, sketch = bands_of(sig).view(np.int64), sketch_of(sig).view(np.int64)
         bare = np.array([not len(s) for s in sets], bool)
         lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * m.shape[1], pa.int32()), pa.array(m.reshape(-1))) for m in (bands, sketch)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(halves[:, 0]), pa.array(halves[:, 1]), *lists, pa.array(bare)], names=["doc_id", "k1", "k2", "bands", "sketch", "bare"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(halves[:, 0]), pa.array(halves[:, 1]), *lists, pa.array(bare)], names=["doc_id", "h1", "h2", "k1", "k2", "bands", "sketch", "bare"])
 
 
 def _spanning(ids: np.ndarray, s: np.ndarray) -> list[tuple[int, int]]:
@@ -248,8 +251,8 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "n", "shingles"])
 
 
-def candidate_links(signed: DataFrame) -> DataFrame:
-    """(u, v) of documents whose signatures share a band and look alike, from (node, bands, sketch)."""
+def candidate_links(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From (node, bands, sketch): (u, v) of documents whose signatures share a band and look alike, and (u, v) of the pivot and each document of a bucket that was dealt into parts."""
     rows = signed.select("node", F.explode("bands").alias("band"), "sketch")
     sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1")
     sizes = written(sizes, "buckets")
@@ -260,7 +263,8 @@ def candidate_links(signed: DataFrame) -> DataFrame:
     part = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), deals - 1)).otherwise(F.array(part.cast("int")))
     flat = parts.withColumn("part", F.explode(part)).select("band", F.col("part").cast("long"), "node", *[F.col("sketch")[k].alias(f"s{k}") for k in range(4)])
     dealt = flat.repartition("band", "part").sortWithinPartitions("band", "part", "node")
-    return dealt.mapInArrow(_link, "u long, v long").distinct()
+    crowds = rows.select("node", "band").join(small(sizes.where(F.col("n") > BUCKET)), "band").where("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v"))
+    return dealt.mapInArrow(_link, "u long, v long").distinct(), crowds.distinct()
 
 
 def alike_classes(sets: list[np.ndarray], classes: np.ndarray, blocks: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
@@ -317,11 +321,12 @@ def block_pairs(members: DataFrame) -> DataFrame:
 
 
 def missed_links(refused: DataFrame, groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
-    """(u, v) of classes that belong together though the verification refused the forest's edges between them; None if there can be none.
+    """(u, v) of classes that belong together though nothing has passed between them yet; None if there can be none.
 
     A forest follows the sketches, which are estimates, so the edge that it took may be refused where another one would
-    have passed. Classes that refused edges connect are clusters; any similar pair lies in one of them, as a forest connects all
-    that look alike. A cluster is examined by its sets, in blocks of bounded size.
+    have passed; and a bucket that was dealt into parts has a forest for each part only. `refused` holds the refused edges, and the edges from
+    the pivot to all others of each dealt bucket. Classes that these connect are clusters; any similar pair lies in one of them, as a forest connects all
+    that look alike. A cluster is examined by its sets, exactly, in blocks of bounded size.
     """
     named = groups.select("node", "class")
     edges = refused.join(named.toDF("u", "cu"), "u", "left").join(named.toDF("v", "cv"), "v", "left")
@@ -340,51 +345,76 @@ def missed_links(refused: DataFrame, groups: DataFrame, sets: DataFrame, similar
     return dealt.groupBy("cluster", "i", "j").applyInPandas(examine, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, kept of every document: classes of the graph of similarity 0.8 or more on sets of five-word shingles.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, two hashes that tell rows of different id or text apart, text."""
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(doc_id.alias("doc_id"), *_row_key(doc_id, F.col("text")), "text")
 
-    Texts of the same shingles are one class from the start, so copies are never paired. The class id is its smallest
-    doc_id; kept marks that document. Texts shorter than five words are one shingle; wordless texts (null counts as empty)
-    match only equal ones. Rows that repeat a doc_id are taken for one document and share a class, all of them kept or not. A null doc_id joins
-    its class and is never kept in it, unless no row of the class has an id (class_id null). Further columns are
-    ignored; an empty table gives no rows.
-    """
+
+def _row_key(doc_id: Column, text: Column) -> list[Column]:
+    return [F.xxhash64(doc_id, doc_id.isNull(), text, text.isNull()).alias("h1"), F.xxhash64(text, F.lit(7), doc_id).alias("h2")]
+
+
+def classify(docs: DataFrame, similarity: float = SIMILARITY, chain: bool = True) -> DataFrame:
+    """doc_id, h1, h2 (of id and text), label of every row: equal labels are one class. With chain a doc_id in several classes joins them."""
     prepare(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(rows.mapInArrow(_sign, "doc_id long, k1 long, k2 long, bands array<long>, sketch array<long>, bare boolean"), "signatures")
-    classes = written(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("bare").alias("bare")), "classes")
-    named = classes.where("node is not null")
-    links = written(candidate_links(named.where("not bare")), "candidates")
-    ends = written(links.select(F.col("u").alias("doc_id")).union(links.select("v")).distinct(), "candidate-ids")
-    sets = rows.join(ends, "doc_id", "left_semi").mapInArrow(_shingle_rows, "node long, n long, shingles array<long>").dropDuplicates(["node"])
+    rows = _keyed(docs)
+    signed = written(rows.mapInArrow(_sign, _SIGNED), "signatures")
+    named, low = F.col("doc_id").isNotNull(), F.col("low")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h1", "h2")).alias("first")
+    classes = signed.groupBy("k1", "k2").agg(first, F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("bare").alias("bare")).withColumn("low", F.col("first.doc_id"))
+    # a node's number is its smallest id; without one, or where another class has it too, one below zero
+    unique = F.row_number().over(Window.partitionBy(F.coalesce(low, "k1"), low.isNull()).orderBy("k1", "k2")) == 1
+    node = F.when(low.isNotNull() & unique, low).otherwise(-F.shiftrightunsigned(F.xxhash64("k1", "k2"), 1) - 1)
+    classes = written(classes.withColumn("node", node), "classes")
+    links, crowds = candidate_links(classes.where("not bare"))
+    links, crowds = written(links, "candidates"), written(crowds, "crowds")
+    ends = written(links.select(F.col("u").alias("node")).union(links.select("v")).union(crowds.select("u")).union(crowds.select("v")).distinct(), "candidate-ids")
+    wanted = classes.join(ends, "node", "left_semi").select("node", "first.h1", "first.h2")
+    sets = rows.join(wanted, ["h1", "h2"]).select("node", "text").mapInArrow(_shingle_rows, "node long, n long, shingles array<long>").dropDuplicates(["node"])
     sets = written(sets, "shingles")
     left = links.join(sets.select("node", F.col("shingles").alias("a")), F.col("u") == F.col("node")).drop("node")
     both = left.join(sets.select("node", F.col("shingles").alias("b")), F.col("v") == F.col("node")).drop("node")
     common = F.size(F.array_intersect("a", "b"))
     verdicts = written(both.select("u", "v", (common >= F.lit(similarity) * (F.size("a") + F.size("b") - common)).alias("alike")), "verdicts")
-    alike = verdicts.where("alike").select("u", "v")
-    # a doc_id in several classes chains them
-    owners = signed.where("doc_id is not null").join(named.select("k1", "k2", "node"), ["k1", "k2"])
-    chained = owners.where("doc_id <> node").select(F.col("node").alias("u"), F.col("doc_id").alias("v")).join(named.select(F.col("node").alias("v")).distinct(), "v", "left_semi").select("u", "v")
-    groups = written(connected_components(alike.union(chained)).withColumnRenamed("component", "class"), "groups")
-    missed = missed_links(verdicts.where("not alike").select("u", "v"), groups, sets, similarity)
-    label = named.select("k1", "k2", "node").join(groups, "node", "left").select("k1", "k2", F.coalesce("class", "node").alias("class_id"))
-    if missed is not None:
-        joined = connected_components(missed).toDF("class_id", "whole")
-        label = label.join(joined, "class_id", "left").select("k1", "k2", F.coalesce("whole", "class_id").alias("class_id"))
-    out = signed.select("doc_id", "k1", "k2").join(label, ["k1", "k2"], "left")
+    groups = written(connected_components(verdicts.where("alike").select("u", "v")).withColumnRenamed("component", "class"), "groups")
+    more = missed_links(verdicts.where("not alike").select("u", "v").union(crowds), groups, sets, similarity)
+    own = written(signed.join(classes.select("k1", "k2", "node"), ["k1", "k2"]).join(groups, "node", "left").select("doc_id", "h1", "h2", F.coalesce("class", "node").alias("class")), "row-classes")
+    if chain:
+        spread = own.where(named).groupBy("doc_id").agg(F.min("class").alias("u"), F.max("class").alias("top")).where("u <> top")
+        chained = own.join(written(spread, "repeated-ids"), "doc_id").where("class <> u").select("u", F.col("class").alias("v")).distinct()
+        more = chained if more is None else more.union(chained)
+    if more is None:
+        return own.withColumnRenamed("class", "label")
+    joined = written(connected_components(more).toDF("class", "whole"), "joined-classes")
+    return own.join(small(joined), "class", "left").select("doc_id", "h1", "h2", F.coalesce("whole", "class").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id, kept of every document: classes of the graph of similarity 0.8 or more on sets of five-word shingles.
+
+    Texts of the same shingles are one class from the start, so copies are never paired. The class id is its smallest
+    doc_id; kept marks that document. Texts shorter than five words are one shingle; wordless texts (null counts as empty)
+    match only equal ones. Rows that repeat a doc_id are taken for one document and share a class, all of them kept or not. Rows of null doc_id are
+    compared like any other; one joins its class and is never kept in it, unless no row of the class has an id (class_id null, kept). Further columns are
+    ignored; an empty table gives no rows.
+    """
+    rows = classify(docs, similarity)
+    # a label of zero or more is the smallest id of its class; the few below may have to be renamed
+    names = rows.where("label < 0").groupBy("label").agg(F.min("doc_id").alias("name"), F.lit(True).alias("renamed"))
+    rows = rows.join(small(written(names, "class-names")), "label", "left")
+    out = rows.select("doc_id", F.when(F.col("renamed"), F.col("name")).otherwise(F.col("label")).alias("class_id"))
     return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class; rows without an id whose class has none stay too, once for each text."""
-    found = written(near_duplicates(docs), "near-duplicates")
-    kept = found.where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    nameless = docs.where("doc_id is null")
-    if found.where("doc_id is null").limit(1).count():
-        texts = nameless.dropDuplicates(["text"])
-        known = docs.where("doc_id is not null").select(F.coalesce("text", F.lit("")).alias("t")).distinct()
-        nameless = texts.join(known, F.coalesce("text", F.lit("")) == F.col("t"), "left_anti").select(*docs.columns)
-        return named.union(nameless)
-    return named
+    """docs with one row of each class of near copies: that of the smallest doc_id, ids before nulls.
+
+    Classes are of texts, so a doc_id whose rows have different texts loses none of them; rows that are equal in id and text count once. Null texts are
+    empty; a class without any doc_id keeps a row too; columns, whatever their names, stay as they are; an empty table gives no rows.
+    """
+    rows = classify(docs, chain=False)
+    kept = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h1", "h2")).alias("first")).select(F.col("first.h1").alias("h1"), F.col("first.h2").alias("h2"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    row = row.select("doc", *_row_key(F.col("doc.doc_id").cast("long"), F.col("doc.text")))
+    return row.join(written(kept, "kept-rows"), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]).select("doc.*")
