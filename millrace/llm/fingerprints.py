@@ -126,32 +126,59 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
 
 
+MOST_PARTS = 100_000
+PART_SAMPLE = 20
+"""Rows, for each part, whose ids the driver gets to lay out the ranges."""
+
+
+def ranges_of(ids: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of ranges of ids that hold about equal shares of a sorted sample, and in how many parts each is dealt: one id with the rows of several parts has a range of its own."""
+    if not len(ids):
+        return np.zeros(0, np.int64), np.ones(1, np.int64)
+    cuts, times = np.unique(ids[np.arange(1, parts) * len(ids) // parts], return_counts=True)
+    deals = {int(c): int(n) for c, n in zip(cuts, times, strict=True)}
+    for c, n in zip(cuts.tolist(), times.tolist(), strict=True):
+        if n > 1 and c < 2**63 - 1:
+            deals.setdefault(c + 1, 1)
+    starts = np.array(sorted(deals), np.int64)
+    return starts, np.array([1, *(deals[int(c)] for c in starts)], np.int64)
+
+
 def fingerprint_documents(docs: DataFrame, rows_per_part: int = 4000) -> DataFrame:
     """Fingerprint each document, its half-edited text, and compare it with the next document.
 
     docs needs doc_id and text; other columns are ignored. Null text counts as empty; null doc_id comes
-    last; rows of equal doc_id follow each other by text; the last row's next is the first. An empty
+    last; rows of equal doc_id follow each other by a hash of the text, then by the text; the last row's next is the first. An empty
     table gives no rows.
 
-    Documents are dealt once, by ranges of doc_id (quantiles of the id column); the neighbour of each
-    range's last document is found from the id column alone and appended, so no range waits for another.
+    Documents are dealt once, by ranges of doc_id from a bounded sample of ids; an id (or null) with very many rows is
+    dealt further by the texts' hashes. The neighbour of each part's last document is found from ids and hashes alone and appended, so no part waits for
+    another.
     """
     spark = prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("ord"))
+    rows = rows.withColumn("h", F.xxhash64("text"))
     total = rows.count()
-    parts = max(1, min(200_000, total // rows_per_part))
-    cuts = np.unique(np.asarray(rows.approxQuantile("ord", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else [], dtype=np.float64))
+    parts = max(1, min(MOST_PARTS, total // rows_per_part))
+    starts, deals = np.zeros(0, np.int64), np.ones(1, np.int64)
+    if parts > 1:
+        share = int(min(1.0, PART_SAMPLE * parts / total) * 1_000_000) + 1
+        drawn = rows.where(F.pmod(F.xxhash64("ord", "h"), F.lit(1_000_000)) < share).select("ord").toPandas()  # about PART_SAMPLE rows a part
+        starts, deals = ranges_of(np.sort(drawn["ord"].to_numpy(np.int64)), parts)
+    offsets = np.cumsum(deals) - deals
 
     @F.pandas_udf("int")
-    def part_of(ids):
-        return ids.__class__(np.searchsorted(cuts, ids.to_numpy(np.float64), side="right").astype(np.int32))
-
-    placed = rows.withColumn("part", part_of("ord") if len(cuts) else F.lit(0))
-    firsts = placed.groupBy("part").agg(F.min("ord").alias("ord")).collect()  # at most `parts` rows of two numbers
-    order = sorted((r["part"], r["ord"]) for r in firsts)
-    follow = [(order[k - 1][0], o, k == 0) for k, (_, o) in enumerate(order)]
-    heads = spark.createDataFrame(follow, "part int, ord long, wraps boolean")
-    first_text = rows.join(F.broadcast(heads), "ord").groupBy("part", "ord").agg(F.min("text").alias("text"), F.first("doc_id").alias("doc_id"))
-    both = placed.select("part", "doc_id", "text", F.lit(False).alias("tail"), "ord").union(first_text.select("part", "doc_id", "text", F.lit(True), "ord"))
-    dealt = both.repartition("part").sortWithinPartitions("part", "tail", "ord", "text")
+    def part_of(ids, hashes):
+        at = np.searchsorted(starts, ids.to_numpy(np.int64), side="right")
+        place = np.minimum((hashes.to_numpy(np.float64) / 2**64 + 0.5) * deals[at], deals[at] - 1).astype(np.int64)
+        return ids.__class__((offsets[at] + place).astype(np.int32))
+
+    placed = rows.withColumn("part", part_of("ord", "h") if parts > 1 else F.lit(0))
+    firsts = placed.groupBy("part").agg(F.min(F.struct("ord", "h")).alias("first")).collect()  # at most `parts` rows of three numbers
+    order = sorted((r["part"], r["first"]["ord"], r["first"]["h"]) for r in firsts)
+    follow = [(order[k - 1][0], o, h) for k, (_, o, h) in enumerate(order)]
+    heads = spark.createDataFrame(follow, "part int, ord long, h long")
+    first_text = rows.join(F.broadcast(heads), ["ord", "h"]).groupBy("part", "ord", "h").agg(F.min("text").alias("text"), F.first("doc_id").alias("doc_id"))
+    both = placed.select("part", "doc_id", "text", F.lit(False).alias("tail"), "ord", "h").union(first_text.select("part", "doc_id", "text", F.lit(True), "ord", "h"))
+    dealt = both.repartition("part").sortWithinPartitions("part", "tail", "ord", "h", "text")
     return dealt.select("part", "doc_id", "text", "tail").mapInArrow(_compare, _OUT)
