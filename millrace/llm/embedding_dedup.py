@@ -174,7 +174,7 @@ def dedup_embeddings(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     big = F.array_max(F.transform("e", F.abs))
     distinct = distinct.withColumn("e", F.transform("e", lambda x: x / big)).select("key", "copies", "low_id", F.transform("e", lambda x: x / norm).alias("v"), F.size("e").alias("dim"))
     # a number for each distinct vector: its smallest id; without one, or where another vector has it too, one below zero
-    first = F.row_number().over(Window.partitionBy("low_id").orderBy("key")) == 1
+    first = F.row_number().over(Window.partitionBy(F.coalesce("low_id", F.xxhash64("key")), F.col("low_id").isNull()).orderBy("key")) == 1
     rid = F.when(F.col("low_id").isNotNull() & first, F.col("low_id")).otherwise(-F.shiftrightunsigned(F.xxhash64("key"), 1) - 1)
     distinct = written(distinct.withColumn("rid", rid), "unit-vectors")
     placed = distinct.select("rid", F.col("copies").cast("long").alias("copies"), "v", F.col("dim").cast("string").alias("leaf"), F.lit(True).alias("home"))
