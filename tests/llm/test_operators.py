@@ -25,25 +25,87 @@ def ids_last(rows):
 # 1 fingerprints
 
 
+GEAR_SEED, MASK = 0x9E3779B97F4A7C15, 2**64 - 1
+
+
+def gear(byte):
+    """splitmix64 of the byte's number, its upper half."""
+    x = (byte + 1) * GEAR_SEED & MASK
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & MASK
+    return (x ^ x >> 31) >> 32
+
+
+GEARS = [gear(b) for b in range(256)]
+
+
+def plain_chunks(text):
+    """Chunks of a text, byte by byte: 24 to 256 bytes, a strict test of the gear hash up to 64 bytes, a loose one after."""
+    data, out, start = text.encode(), [], 0
+    hashes, h = [], 0
+    for k, b in enumerate(data):
+        h = sum(GEARS[x] << (k - j) for j, x in enumerate(data[max(0, k - 15) : k + 1], max(0, k - 15))) % 2**32 if k < 16 else (h * 2 + GEARS[b] - (GEARS[data[k - 16]] << 16)) % 2**32
+        hashes.append(h)
+    while start < len(data):
+        end = start + 1
+        while end < len(data):
+            size = end - start
+            if size >= 24 and len(data) - start > 24 and hashes[end - 1] < 2 ** (25 if size < 64 else 27) or size == 256:
+                break
+            end += 1
+        out.append(data[start:end])
+        start = end
+    return out
+
+
+def plain_fingerprint(text):
+    import xxhash
+
+    weights = Counter()
+    for c in plain_chunks(text):
+        weights[xxhash.xxh3_64_intdigest(c)] += len(c)
+    return weights
+
+
+def plain_containment(a, b):
+    return sum((a & b).values()) / a.total() if a else float(not b)
+
+
 def check_fingerprints(rows, got):
-    order = ids_last(rows)
+    import xxhash
+
+    # equal ids follow each other by Spark's hash of the text, which the rows bring along
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[2], r[1] or ""))
     assert len(got) == len(order)
-    want = []
-    for k, (doc_id, text) in enumerate(order):
+    want, known = [], {}
+    prints = lambda t: known.setdefault(xxhash.xxh3_128_digest(t), plain_fingerprint(t))
+    for k, (doc_id, text, _) in enumerate(order):
         text, following = text or "", order[(k + 1) % len(order)][1] or ""
         changed = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
-        own, other, after = (fingerprints.chunk_weights(t) for t in (text, changed, following))
-        want.append((doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), fingerprints.as_text(own), fingerprints.as_text(other), fingerprints.containment(own, other), fingerprints.containment(own, after)))
+        own, other, after = map(prints, (text, changed, following))
+        said = lambda w: ",".join(f"{d:016x}:{n}" for d, n in sorted(w.items()))
+        want.append((doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), said(own), said(other), plain_containment(own, other), plain_containment(own, after)))
     assert Counter(map(tuple, got)) == Counter(want)
 
 
 def test_fingerprints_match_brute_force(spark, sf, odd_docs):
-    for docs in (table(spark, sf, "documents"), odd_docs):
-        rows = [(r.doc_id, r.text) for r in docs.collect()]
+    small = table(spark, sf, "documents").where("doc_id % 3 = 0")
+    for docs in (small, odd_docs.where("coalesce(length(text), 0) < 1000")):
+        rows = [(r.doc_id, r.text, r.h) for r in docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()]
         for parts in (4000, 7):
             check_fingerprints(rows, fingerprints.fingerprint_documents(docs, rows_per_part=parts).collect())
 
 
+@pytest.mark.parametrize("hot", [None, 5, 2**62 + 1])
+def test_an_id_of_many_rows_is_dealt(spark, hot):
+    rows = [(hot if k % 3 else k, f"text number {k} of some length " * (k % 4)) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = [(r.doc_id, r.text, r.h) for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()]
+    check_fingerprints(hashed, fingerprints.fingerprint_documents(docs, rows_per_part=20).collect())
+    _, deals = fingerprints.ranges_of(np.sort([2**63 - 1 if i is None else i for i, _ in rows]), 30)
+    assert deals.max() > 10
+
+
 def test_fingerprints_survive_shifts():
     rng = np.random.default_rng(1)
     text = " ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(800))
@@ -573,11 +635,29 @@ def test_near_duplicates_odd_rows(spark, odd_docs, no_docs):
 
 
 def test_large_buckets_are_dealt(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "BUCKET", 20)
     words = [f"w{k}" for k in range(300)]
     rows = [(k, " ".join([*words[: 10 + k], f"changed{k}", *words[11 + k :]])) for k in range(120)]
-    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.class_id for r in got} == {0}
+    # and texts that share most, but for pairs not enough of it
+    rng = random.Random(2)
+    for k in range(200, 320, 2):
+        own = [w if rng.random() < 0.93 else f"{w}k{k}" for w in words]
+        rows += [(k, " ".join(own)), (k + 1, " ".join([*own[:100], "else", *own[101:]]))]
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string"), plain_classes(rows)
+    assert len(set(want.values())) > 20
+    for size in (4000, 20, 3):
+        monkeypatch.setattr(near_dup, "BUCKET", size)
+        assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).collect()} == want
+
+
+def test_rows_without_id_and_repeated_ids(spark):
+    long = [f"word{k}" for k in range(100)]
+    a, b, c = " ".join(long), " ".join([*long[:50], "other", *long[51:]]), " ".join(reversed(long))
+    rows = [(None, a), (None, b), (5, c), (5, "quite another text of many words here"), (9, "quite another text of many words here"), (9, "and a third text that only this one has"), (None, c), (-3, "a text below zero in its number"), (8, "a text below zero in its number")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.class_id, r.kept) for r in near_dup.near_duplicates(docs).collect())
+    assert got == Counter({(None, None, True): 2, (5, 5, True): 2, (9, 5, False): 2, (None, 5, False): 1, (-3, -3, True): 1, (8, -3, False): 1})
+    kept = {(r.doc_id, r.text) for r in near_dup.keep_one(docs.union(docs)).collect()}
+    assert kept - {(None, a), (None, b)} == {rows[2], rows[3], rows[5], rows[7]} and len(kept) == 5  # no text is lost
 
 
 def test_darts_estimate_weighted_similarity():
