@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on the smallest tables and on odd rows."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -223,13 +224,119 @@ def test_template_text_is_found_by_alignment(spark):
 
 
 def test_extraction_of_all_pages(spark, sf):
-    from html import unescape
-
     pages = table(spark, sf, "pages")
     for r in html_extract.extract_pages(pages).join(pages.select("page_id", "html"), "page_id").collect():
-        article = re.search(r"<article>(.*?)(?:</article>|$)", r.html, re.S)[1]
-        parts = [" ".join(unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", article)]
-        assert r.text == "\n".join(p for p in parts if p)
+        assert r.text == article_of(r.html) and r.n_chars == len(r.text)
+
+
+def article_of(html):
+    from html import unescape
+
+    article = re.search(r"<article>(.*?)(?:</article>|$)", html, re.S)[1]
+    parts = [" ".join(unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", article)]
+    return "\n".join(p for p in parts if p)
+
+
+def test_the_wrapper_decides_and_not_the_lists(spark, monkeypatch):
+    """Without any list of words or elements the given pages keep their texts, but not without the wrapper."""
+    for name in ("ASIDE_WORDS", "ASIDE", "MAIN"):
+        monkeypatch.setattr(html_extract, name, frozenset())
+    rows = table(spark, "/root/testdata/sf0.1", "pages").collect()
+    hosts = defaultdict(dict)
+    for r in rows:
+        s = html_extract.shape(html_extract.parse(r.html))
+        html_extract._collect(hosts[re.search("//([^/?#]*)", r.url)[1]], "", str(html_extract.skeleton(s)), s)
+    wrappers = {h: html_extract.wrapper_of(list(found.values())) for h, found in hosts.items()}
+    got = [html_extract.extract(r.html, wrappers[re.search("//([^/?#]*)", r.url)[1]]) for r in rows]
+    assert got == [article_of(r.html) for r in rows]
+    alone = [html_extract.extract(r.html, None) for r in rows]
+    assert sum(a != b for a, b in zip(alone, got, strict=True)) > 5
+
+
+def site(rng, k):
+    """A page whose parts say nothing by their names, and its article."""
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(n))
+    paragraphs = [words(rng.randint(4, 60)) for _ in range(rng.randint(1, 5))]
+    title = words(5)
+    links = "".join(f"<li><a href=/{x}>{words(1)}</a></li>" for x in range(8))
+    html = f"<div class=a{k}><ul>{links}</ul></div><div class=b>{words(12)}</div><div class=c><div class=d><h2>{title}</h2>{''.join(f'<p>{p}</p>' for p in paragraphs)}<div class=e><p>Always these words</p></div></div><div class=f>{words(6)}</div></div><div class=g>{words(9)}</div>"
+    return html, "\n".join([title, *paragraphs])
+
+
+def test_regions_are_found_by_variation_and_position(spark):
+    rng = random.Random(3)
+    pages = [(k, f"http://x{k % 3}.example/{k}", *site(rng, k)) for k in range(60)]
+    df = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
+    want = {p[0]: p[3] for p in pages}
+    got = {r.page_id: r.text for r in html_extract.extract_pages(df.repartition(7)).collect()}
+    assert got == want
+    assert got == {r.page_id: r.text for r in html_extract.extract_pages(df.orderBy(F.desc("page_id")).coalesce(2)).collect()}
+    # hosts of one page each use the wrapper of all
+    lone = df.withColumn("url", F.concat(F.lit("http://h"), F.col("page_id").cast("string"), F.lit(".example/")))
+    assert {r.page_id: r.text for r in html_extract.extract_pages(lone).collect()} == want
+
+
+def test_headings_before_a_region_come_along(spark):
+    page = "<div class=x>Banner {k}</div><h1>Title {k}</h1><div class=y><div class=z><p>Body {k} of some length that goes on and on, as bodies do.</p></div><div class=w>Foot {k}</div></div>"
+    rows = [(k, "http://t.example/", page.replace("{k}", str(k))) for k in range(9)]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Title {k}\nBody {k} of some length that goes on and on, as bodies do." for k in range(9)}
+    article = "<article><h1>A {k}</h1><p class=lead>Lead {k}</p><div class=body><p>" + "Much longer text {k}. " * 9 + "</p></div></article><div>Beside {k}</div>"
+    rows = [(k, "http://t.example/", article.replace("{k}", str(k))) for k in range(9)]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"A {k}\nLead {k}\n" + " ".join([f"Much longer text {k}."] * 9) for k in range(9)}
+
+
+def test_the_order_of_pages_does_not_change_a_wrapper():
+    rng = random.Random(4)
+    shapes = [html_extract.shape(html_extract.parse("<div class=top>x</div>" * rng.randint(0, 1) + "<section><p>" + f"{k} text" + "</p></section>" + "".join(f"<div class=q{'abc'[rng.randrange(3)]}>m {k}</div>" for _ in range(2)))) for k in range(40)]
+    made = set()
+    for _ in range(5):
+        rng.shuffle(shapes)
+        found = {}
+        for s in shapes:
+            copied = json.loads(json.dumps(s))
+            html_extract._collect(found, "", str(html_extract.skeleton(copied)), copied)
+        made.add(json.dumps(html_extract.wrapper_of(list(found.values()))))
+    assert len(made) == 1
+
+
+def test_deep_wide_and_broken_pages_take_linear_time(spark):
+    import time
+
+    began = time.time()
+    deep = "<div>" * 50_000 + "deep text" + "</div>" * 50_000 + "<p>after</p>"
+    assert html_extract.extract(deep, None) == "deep text\nafter"
+    wide = "<main><p>some words here &amp; more</p>" + "<p>more words of it</p>" * 500_000 + "</main>"
+    assert len(wide) > 10_000_000 and html_extract.extract(wide, None).count("\n") == 500_000
+    for page in ("<button>" * 100_000 + "x", "<a '<a \"" * 200_000, "a < b " * 300_000, "</div>" * 300_000, "<h2>a</h2><p>b</p>" * 100_000, "".join(f"<div class=c{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}x>w</div>" for k in range(17_000))):
+        html_extract.extract(page, html_extract.shape(html_extract.parse(page)))
+    assert time.time() - began < 40
+    rows = [(k, "http://deep.example/", deep) for k in range(4)]
+    assert {r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"deep text\nafter"}
+
+
+def test_trees_match_as_all_orders_say():
+    """Simple tree matching against a search through all order-keeping matches."""
+    rng = random.Random(6)
+
+    def tree(depth):
+        return [rng.choice("ab"), [], 1, 1, 0, [tree(depth - 1) for _ in range(rng.randint(0, 3))] if depth else []]
+
+    def most(a, b):
+        if a[0] != b[0]:
+            return 0
+
+        def go(i, j):
+            if i == len(a[5]) or j == len(b[5]):
+                return 0
+            return max(go(i + 1, j), go(i, j + 1), most(a[5][i], b[5][j]) + go(i + 1, j + 1) if a[5][i][0] == b[5][j][0] else 0)
+
+        return 1 + go(0, 0)
+
+    for _ in range(200):
+        a, b = tree(3), tree(3)
+        assert html_extract.pairs_of(a, b)[0] == most(a, b)
 
 
 # 4 embeddings
