@@ -31,7 +31,7 @@ MAX_QUEUES = 256
 """With more sources than this, positions come from a sort of the pieces and not from a list of all sources' totals."""
 FLUSH = 20_000
 """Pieces that a Python worker holds before it passes them on."""
-CACHE_WORDS = 100_000
+CACHE_WORDS = 200_000
 """Words in each of two generations that a Python worker remembers, over all of its tasks."""
 
 # How the vocabulary's file parts words, for the Latin letters and numbers that _PLAIN admits, in lower case.
@@ -62,8 +62,7 @@ class Encoder(dict):
 
         self.older: dict[str, bytes] = {}
         self.whole = Tokenizer.from_file(path)
-        names = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(names) or r"(?!)", re.I)
+        self.special = [t.content.lower() for t in self.whole.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2") if self.whole.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
 
     def _ids(self, text: str) -> bytes:
@@ -83,7 +82,9 @@ class Encoder(dict):
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of the text and END_ID behind them."""
         text = text or ""
-        data = b"".join(map(self.__getitem__, _PIECES.findall(text.lower()))) if _PLAIN.fullmatch(text) and not self.special.search(text) else self._ids(text)
+        low = text.lower()
+        plain = _PLAIN.fullmatch(text) and not any(name in low for name in self.special)
+        data = b"".join(map(self.__getitem__, _PIECES.findall(low))) if plain else self._ids(text)
         return np.append(np.frombuffer(data, self.kind), self.kind.type(END_ID))
 
 
@@ -158,10 +159,11 @@ def credits_of(totals: dict[str | None, int], weights: dict[str | None, float] |
 
 def pieces(credit: Credit, start: int, end: int) -> Iterator[tuple[int, int, int]]:
     """(from, to, round) of a stretch of a queue, cut where its credit of a round ends; each in constant time, whatever the share."""
+    total, num, den, first = credit
     while start < end:
-        k = credit.round_of(start)
-        stop = min(end, credit.sent(k + 1))
-        yield start, stop, k
+        k = ((start + 1) * den - 1) // num  # the round of token start: (k + 1) x num >= (start + 1) x den
+        stop = min(end, total, (k + 1) * num // den)
+        yield start, stop, first + k
         start = stop
 
 
