@@ -16,17 +16,27 @@ from millrace.llm.pii import redact
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language is a close call, go."""
+    """Documents without a letter (null and empty texts too), or whose language is a close call, go.
+
+    Null doc_ids, repeated rows and further columns stay as they are; an empty table gives no rows, and so does one without a labelled row to learn from.
+    """
     return keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays."""
+    """One document of each class of near copies stays, that of the smallest doc_id.
+
+    Rows equal in doc_id and text count once; a doc_id with different texts loses none; rows of null doc_id are compared like any other and lose to
+    those with one; further columns stay as they are; an empty table gives no rows.
+    """
     return keep_one(docs)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts is replaced by its kind; n_chars is that of the new text."""
+    """Personal data in the texts is replaced by its kind; n_chars is that of the new text.
+
+    Null and empty texts, null doc_ids, repeated rows and further columns stay as they are; an empty table gives no rows.
+    """
     return redact(docs)
 
 
@@ -39,7 +49,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the packed sequences."""
+    """Where each piece of each document lies in the packed sequences.
+
+    Null text is an empty document; null doc_ids and repeated rows are documents of their own, a null source is a source; further columns are ignored; an
+    empty table gives no rows.
+    """
     return pack(docs)
 
 
