@@ -35,6 +35,9 @@ BUCKET = 4000
 BLOCK = 50_000
 """Shingles, about, in a block of a cluster that is examined again; larger clusters are split into pairs of blocks, see block_pairs."""
 
+WANTED_ROWS = 500_000
+"""Candidates whose texts are looked up by a broadcast of three numbers each; for more of them texts and numbers are shuffled."""
+
 _WORD = re.compile(r"[^\x00-/:-@\[-`{-\x7f]+")
 _IS_WORD = np.array([bool(_WORD.match(chr(c))) if c < 128 else True for c in range(256)])
 _U = np.uint64
@@ -370,7 +373,7 @@ def classify(docs: DataFrame, similarity: float = SIMILARITY, chain: bool = True
     links, crowds = candidate_links(classes.where("not bare"))
     links, crowds = written(links, "candidates"), written(crowds, "crowds")
     ends = written(links.select(F.col("u").alias("node")).union(links.select("v")).union(crowds.select("u")).union(crowds.select("v")).distinct(), "candidate-ids")
-    wanted = classes.join(ends, "node", "left_semi").select("node", "first.h1", "first.h2")
+    wanted = small(written(classes.join(ends, "node", "left_semi").select("node", "first.h1", "first.h2"), "wanted-texts"), WANTED_ROWS)
     sets = rows.join(wanted, ["h1", "h2"]).select("node", "text").mapInArrow(_shingle_rows, "node long, n long, shingles array<long>").dropDuplicates(["node"])
     sets = written(sets, "shingles")
     left = links.join(sets.select("node", F.col("shingles").alias("a")), F.col("u") == F.col("node")).drop("node")
