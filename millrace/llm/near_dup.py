@@ -30,7 +30,7 @@ AT_ONCE = 100_000
 """Shingles whose darts are thrown at once (more only for a longer document)."""
 CUT = 0.5
 """Pairs whose sketches say less are not verified: seven standard errors below SIMILARITY."""
-BUCKET = 4000
+BUCKET = 500
 """A bucket of more documents is dealt into parts that share one document of it; what that leaves apart is compared exactly, see missed_links."""
 BLOCK = 50_000
 """Shingles, about, in a block of a cluster that is examined again; larger clusters are split into pairs of blocks, see block_pairs."""
