@@ -39,7 +39,7 @@ class Compressors:
 
     def __init__(self, samples: dict[str, bytes]) -> None:
         self.languages = sorted(samples)
-        params = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_BTOPT, min_match=3, window_log=20, hash_log=17, chain_log=17, search_log=3, write_content_size=0, write_checksum=0, write_dict_id=0)
+        params = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_BTOPT, min_match=3, window_log=18, hash_log=15, chain_log=16, search_log=3, write_content_size=0, write_checksum=0, write_dict_id=0)
         self.coders = [self._coder(samples[name], params) for name in self.languages]
 
     @staticmethod

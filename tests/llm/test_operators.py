@@ -553,7 +553,7 @@ def test_language_matches_a_plain_loop(spark, odd_docs):
             data = (" " + " ".join(w for k, w in enumerate(words) if not k or w != words[k - 1]) + " ").encode()
             sizes = []
             for name in sorted(samples):
-                p = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_BTOPT, min_match=3, window_log=20, hash_log=17, chain_log=17, search_log=3, write_content_size=0, write_checksum=0, write_dict_id=0)
+                p = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_BTOPT, min_match=3, window_log=18, hash_log=15, chain_log=16, search_log=3, write_content_size=0, write_checksum=0, write_dict_id=0)
                 coder = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(samples[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=p)
                 sizes.append((sum(len(coder.compress(data[k : k + 4096])) for k in range(0, len(data), 4096)), name))
             (best, name), (second, _) = sorted(sizes)[:2]
