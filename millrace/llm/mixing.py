@@ -46,17 +46,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     return t.withColumn("free", free["level"]).select("source", "source_size", F.coalesce(F.least("most", F.col("free") * F.col("w")), F.col("most")).alias("target"))
 
 
-def timeline(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 17, docs_per_bin: int = 2000, budget: float | None = None) -> DataFrame:
-    """One row a document: doc (a struct of its columns), size, source_size, target, order, and served: a (copy, words, finish) for each copy in the mix.
+def timeline(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 17, docs_per_bin: int = 2000, budget: float | None = None, keep: list[str] | None = None) -> DataFrame:
+    """One row a document: doc (a struct of its columns, or of those to keep), size, source_size, target, order, and served: a (copy, words, finish) for each copy in the mix.
 
     The shuffled order of a source is by a 60-bit hash of doc_id and text, then doc_id. Prefix sums take two levels: the
     hash deals each source into bins of about docs_per_bin documents, which follow each other in its order; sums of bins are added
     up over one short row for each bin, and documents only within their bin, so a source with a third of all rows is
     spread like any other and the number of bins does not change a result.
     """
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc.doc_id").cast("string"), "doc.text").cast("binary"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    sized = rows.select("doc", F.col("doc.source").alias("source"), word_count(F.col("doc.text")).alias("size"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("order"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), "text").cast("binary"))
+    doc = F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns])
+    sized = docs.select(doc.alias("doc"), "source", "doc_id", word_count(F.col("text")).alias("size"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("order"))
     n = docs.count()
     bins = max(16, min(1 << 20, n // docs_per_bin))
     sized = sized.withColumn("bin", F.shiftright(F.shiftright("order", 40) * F.lit(bins), 20))
@@ -65,7 +65,7 @@ def timeline(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 17
     bin_starts = sums.select("source", "bin", (F.sum("sum").over(before) - F.col("sum")).alias("start"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("sum").alias("source_size")), weights, budget)
     starts = bin_starts.alias("b").join(targets.alias("t"), F.expr("b.source <=> t.source")).select(F.col("b.source").alias("of"), F.col("bin").alias("at"), "start", "source_size", "target")
-    inner = Window.partitionBy("source", "bin").orderBy("order", F.col("doc.doc_id").asc_nulls_last())
+    inner = Window.partitionBy("source", "bin").orderBy("order", F.col("doc_id").asc_nulls_last())
     placed = sized.withColumn("inside", F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     joined = placed.join(starts, F.expr("source <=> of and bin = at"), "left").withColumn("ahead", F.col("start") + F.col("inside"))
     cut = F.round("target").cast("long")
@@ -87,7 +87,7 @@ def mixed_share(docs: DataFrame, **how) -> DataFrame:
     table gives no rows.
     """
     taken = F.aggregate("served", F.lit(0).cast("long"), lambda a, x: a + x["words"])
-    return timeline(docs.select("doc_id", "text", "source"), **how).select("doc.doc_id", "doc.source", "size", "source_size", "target", taken.alias("taken"))
+    return timeline(docs.select("doc_id", "text", "source"), keep=["doc_id", "source"], **how).select("doc.doc_id", "doc.source", "size", "source_size", "target", taken.alias("taken"))
 
 
 def first_words(text: Column, n: Column) -> Column:
