@@ -219,6 +219,12 @@ sql("win_rank", "SELECT p_partkey, CAST(rank() OVER (PARTITION BY p_brand ORDER
 sql("win_dense_rank", "SELECT p_partkey, CAST(dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC NULLS LAST) AS BIGINT) AS r FROM part")
 
 
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders")
+def win_row_number_ranges(spark, t):
+    """A global row number by ranges; no task holds the whole table."""
+    return R.numbered(t("orders"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], "rn", shared_path(spark, "numbered")).select("o_orderkey", "rn")
+
+
 @query("SELECT * FROM (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer) WHERE rn <= 3")
 def win_partition(spark, t):
     r = R.ranked(t("customer"), ["c_mktsegment"], [F.col("c_acctbal").desc(), F.col("c_custkey")], rn=F.row_number())
