@@ -27,7 +27,7 @@ def query(oracle: str):
     """Register a function of (spark, table) by its name, with its oracle."""
 
     def add(f):
-        QUERIES[f.__name__.rstrip("_")] = lambda spark, sf_dir: f(spark, lambda name: scan(spark, sf_dir, name))
+        QUERIES[f.__name__.rstrip("_")] = lambda spark, sf_dir: f(spark, front(spark, sf_dir).table)
         ORACLE_SQL[f.__name__.rstrip("_")] = oracle
         return f
 
@@ -244,8 +244,9 @@ def _set_operation(name: str, kind: str) -> None:
     text = f"SELECT o_orderkey AS k FROM orders WHERE o_totalprice > 50000 {kind.upper()} SELECT l_orderkey AS k FROM lineitem WHERE l_quantity > 30"
 
     def built(spark: SparkSession, sf_dir: str) -> DataFrame:
-        left = R.keep(scan(spark, sf_dir, "orders"), F.col("o_totalprice") > 50000).select(F.col("o_orderkey").alias("k"))
-        return R.combine(left, R.keep(scan(spark, sf_dir, "lineitem"), F.col("l_quantity") > 30).select(F.col("l_orderkey").alias("k")), kind)
+        t = front(spark, sf_dir).table
+        left = R.keep(t("orders"), F.col("o_totalprice") > 50000).select(F.col("o_orderkey").alias("k"))
+        return R.combine(left, R.keep(t("lineitem"), F.col("l_quantity") > 30).select(F.col("l_orderkey").alias("k")), kind)
 
     sql(name, text)
     QUERIES[f"{name}_built"], ORACLE_SQL[f"{name}_built"] = built, text
