@@ -445,6 +445,17 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_long_pages_pass_in_seconds(spark, tmp_path):
+    import time
+
+    text = "<p>" + "long ü page of words. " * 1_000_000 + "</p>"
+    df = spark.createDataFrame([(k, "u", text[: len(text) - k]) for k in range(2)], "page_id long, url string, html string")
+    began = time.time()
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.round_trip(df, f"file://{tmp_path}/w").collect()}
+    assert time.time() - began < 60
+    assert got == {k: (len(b := text[: len(text) - k].encode()), hashlib.sha256(b).hexdigest()) for k in range(2)}
+
+
 def test_damaged_archives_fail(spark, tmp_path):
     from pyspark.errors import PySparkException
 
