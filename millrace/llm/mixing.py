@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import written
+from millrace.llm.common import small, written
 
 MAX_COPIES = 3
 WEIGHTS = (5, 2, 1)
@@ -56,18 +56,22 @@ def timeline(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 17
     """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), "text").cast("binary"))
     doc = F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns])
-    sized = docs.select(doc.alias("doc"), "source", "doc_id", word_count(F.col("text")).alias("size"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("order"))
+    named = [F.coalesce("source", F.lit("")).alias("queue"), F.col("source").isNull().alias("none")]
+    sized = docs.select(doc.alias("doc"), *named, "doc_id", word_count(F.col("text")).alias("size"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("order"))
     n = docs.count()
     bins = max(16, min(1 << 20, n // docs_per_bin))
     sized = sized.withColumn("bin", F.shiftright(F.shiftright("order", 40) * F.lit(bins), 20))
-    sums = written(sized.groupBy("source", "bin").agg(F.sum("size").alias("sum")), "mix-bins")
-    before = Window.partitionBy("source").orderBy("bin")
-    bin_starts = sums.select("source", "bin", (F.sum("sum").over(before) - F.col("sum")).alias("start"))
-    targets = source_targets(sums.groupBy("source").agg(F.sum("sum").alias("source_size")), weights, budget)
-    starts = bin_starts.alias("b").join(targets.alias("t"), F.expr("b.source <=> t.source")).select(F.col("b.source").alias("of"), F.col("bin").alias("at"), "start", "source_size", "target")
-    inner = Window.partitionBy("source", "bin").orderBy("order", F.col("doc_id").asc_nulls_last())
+    key = ["queue", "none"]
+    sums = written(sized.groupBy(*key, "bin").agg(F.sum("size").alias("sum")), "mix-bins")
+    before = Window.partitionBy(*key).orderBy("bin")
+    bin_starts = sums.select(*key, "bin", (F.sum("sum").over(before) - F.col("sum")).alias("start"))
+    sizes = sums.groupBy(*key).agg(F.sum("sum").alias("source_size")).select(F.when(~F.col("none"), F.col("queue")).alias("source"), "source_size")
+    targets = source_targets(sizes, weights, budget).select(F.coalesce("source", F.lit("")).alias("queue"), F.col("source").isNull().alias("none"), "source_size", "target")
+    starts = small(written(bin_starts.join(targets, key), "mix-starts"))
+    inner = Window.partitionBy(*key, "bin").orderBy("order", F.col("doc_id").asc_nulls_last())
     placed = sized.withColumn("inside", F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    joined = placed.join(starts, F.expr("source <=> of and bin = at"), "left").withColumn("ahead", F.col("start") + F.col("inside"))
+    # a broadcast, or a join on the window's own keys: texts are not shuffled for it
+    joined = placed.join(starts, [*key, "bin"], "left").withColumn("ahead", F.col("start") + F.col("inside"))
     cut = F.round("target").cast("long")
 
     def served(c: int) -> Column:
