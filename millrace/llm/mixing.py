@@ -46,7 +46,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     return t.withColumn("free", free["level"]).select("source", "source_size", F.coalesce(F.least("most", F.col("free") * F.col("w")), F.col("most")).alias("target"))
 
 
-def timeline(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 17, docs_per_bin: int = 2000, budget: float | None = None, keep: list[str] | None = None) -> DataFrame:
+def timeline(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 17, docs_per_bin: int = 500, budget: float | None = None, keep: list[str] | None = None) -> DataFrame:
     """One row a document: doc (a struct of its columns, or of those to keep), size, source_size, target, order, and served: a (copy, words, finish) for each copy in the mix.
 
     The shuffled order of a source is by a 60-bit hash of doc_id and text, then doc_id. Prefix sums take two levels: the
