@@ -287,20 +287,25 @@ def alike_classes(sets: list[np.ndarray], classes: np.ndarray, blocks: np.ndarra
     listed = of[np.argsort(what, kind="stable")]
     start = np.r_[0, np.cumsum(np.bincount(what, minlength=len(count)))]
     own = np.r_[0, np.cumsum(np.bincount(of, minlength=len(sets)))]
-    across, root, out = len(np.unique(blocks)) > 1, classes.copy(), []
+    across, out = len(np.unique(blocks)) > 1, []
+    _, root = np.unique(classes, return_inverse=True)
+    held = [m.tolist() for m in np.split(np.argsort(root, kind="stable"), np.cumsum(np.bincount(root))[:-1])]
     for a in range(len(sets)):
         near = [listed[start[t] : start[t + 1]] for t in what[own[a] : own[a + 1]]]
         if not near:
             continue
-        others = np.unique(np.concatenate(near))
+        # most of a hot group is one class soon, so classes are looked at before the lists are sorted
+        others = np.concatenate(near)
         others = others[(others > a) & (root[others] != root[a])]
         others = others[np.minimum(size[others], size[a]) >= similarity * np.maximum(size[others], size[a]) - 1e-9]
-        for b in others[blocks[others] != blocks[a]] if across else others:
+        for b in np.unique(others[blocks[others] != blocks[a]] if across else others):
             if root[b] != root[a]:
                 common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
                 if common >= similarity * float(size[a] + size[b] - common):
                     out.append((int(classes[a]), int(classes[b])))
-                    root[root == root[b]] = root[a]
+                    few, many = sorted((root[a], root[b]), key=lambda r: len(held[r]))
+                    root[held[few]] = many
+                    held[many] += held[few]
     return out
 
 
