@@ -301,6 +301,51 @@ def test_the_order_of_pages_does_not_change_a_wrapper():
     assert len(made) == 1
 
 
+def test_all_trees_of_a_host_make_its_wrapper(spark, monkeypatch):
+    """Each page has a tree of its own, and each template stands on three of them."""
+    name = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(3))
+    rows = [(k, "http://many.example/", f"<div class=c><div class=u{name(k)}><p>Story number {k} is new.</p></div><div class=t{name(k // 3)}>These words again</div></div><div class=g>Foot {k}</div>") for k in range(900)]
+    rows += [(900 + k, f"http://lone{k}.example/", rows[k][2]) for k in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    want = {k: f"Story number {k % 900} is new." for k in range(902)}
+    assert {r.page_id: r.text for r in html_extract.extract_pages(pages).collect()} == want
+    monkeypatch.setattr(html_extract, "MANY_SLOTS", 5)  # the pages' nodes are joined with the slots to leave out
+    assert {r.page_id: r.text for r in html_extract.extract_pages(pages).collect()} == want
+    monkeypatch.setattr(html_extract, "MOST_BROADCAST", 0)
+    assert {r.page_id: r.text for r in html_extract.extract_pages(pages).collect()} == want
+
+
+def test_all_nodes_of_a_page_make_its_wrapper(spark):
+    name = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(3))
+    template = "".join(f"<div class=t{name(k)}>Words of place {k}</div>" for k in range(2500))
+    rows = [(k, "http://wide.example/", f"<div class=c>{template}<p>Story number {k} is new.</p></div>") for k in range(12)]
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {k: f"Story number {k} is new." for k in range(12)}
+
+
+def test_parts_of_wrappers_add_up_to_the_folded_tree():
+    """Rows by path, added up over any parts of the pages, are those of all trees folded by simple tree matching."""
+    rng = random.Random(8)
+    shapes = [html_extract.shape(html_extract.parse("".join(f"<div class={rng.choice('abc')}>{rng.choice('xyz')}<h2>h{k}</h2><section class={rng.choice('ab')}><p>t {rng.randrange(9)}</p></section></div>" for _ in range(rng.randint(1, 4))))) for k in range(60)]
+    parts = [shapes[i::7] for i in range(7)]
+    added = {}
+    for part in parts:
+        for path, *r in html_extract.rows_of(html_extract.wrapper_of(part), {}):
+            o = added.get(path)
+            added[path] = r if o is None else [min(o[0], r[0]), max(o[1], r[1]), *(x + y for x, y in zip(o[2:], r[2:], strict=True))]
+    whole = {path: r for path, *r in html_extract.rows_of(html_extract.wrapper_of(shapes), {})}
+    assert {p: (r[0] == r[1], r[2:]) for p, r in added.items()} == {p: (r[0] == r[1], r[2:]) for p, r in whole.items()}
+    paths = [p for p, *_ in html_extract.rows_of(html_extract.wrapper_of(shapes), {})]
+    assert len(set(paths)) == len(paths)
+    # and the region of ranges of rows, put together, is that of all
+    opened = [(r[0], html_extract._Open.of(r)) for r in sorted(html_extract.rows_of(html_extract.wrapper_of(shapes), {}))]
+    want = html_extract.region_of(opened)
+    for _ in range(50):
+        cuts = [0, *sorted(rng.choices(range(1, len(opened)), k=rng.randint(1, 6))), len(opened)]
+        left = [x for a, b in zip(cuts, cuts[1:], strict=False) for x in html_extract.open_nodes(opened[a:b], False)]
+        assert html_extract.region_of(sorted(left, key=lambda x: x[0])) == want
+
+
 def test_deep_wide_and_broken_pages_take_linear_time(spark):
     import time
 
